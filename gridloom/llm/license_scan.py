@@ -17,7 +17,9 @@ result.  Only the id and text columns are read.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,7 @@ from gridloom.llm.arrow import text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base phrases and their labels, fixed by the contract.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Label, keyword that a text must hold, and the names' word patterns; ``~`` marks an optional word.
@@ -104,6 +107,13 @@ def signatures() -> tuple[Signature, ...]:
     return tuple(Signature(k, p, c, label, keyword, held, word_regex(words)) for k, (p, c, label, keyword, held, words) in enumerate(sorted(found, key=lambda x: x[0])))
 
 
+def gate_words(rules: tuple[Signature, ...]) -> list[str]:
+    """Words of which a text must hold one, as a substring, to match any rule or base phrase: each rule's longest."""
+    words = {max((s.form if s.priority != 3 else "licens").split(), key=len) for s in rules if s.form != "licence"} | {"licenc" for s in rules if s.form == "licence"}
+    words |= {max(p.split(), key=len) for p, _ in BASE}
+    return sorted(w for w in words if not any(o != w and o in w for o in words))
+
+
 def normalised(text: Column) -> Column:
     """Each word between two spaces of its own; empty without words."""
     words = F.btrim(F.regexp_replace(F.translate(text, UPPER, LOWER), NOT_WORD, "  "))
@@ -138,11 +148,16 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: t
     order, label and confidence.
     """
     rules = signatures() if rules is None else rules
-    table = F.array(*[F.struct(F.lit(s.order).alias("order"), F.lit(s.priority).alias("priority"), F.lit(s.confidence).alias("confidence"), F.lit(s.label).alias("label"), F.lit(keyword_text(s.keyword)).alias("keyword"), F.lit(keyword_text(s.form)).alias("form"), F.lit(s.regex).alias("regex")) for s in rules])
-    keys = sorted({s.form for s in rules} | {p for p, _ in BASE})
-    gate = "(?i)(" + "|".join(k.replace(" ", NOT_WORD) for k in keys) + ")"
+    # One literal: the optimiser folds it, so it is built once and not row by row.
+    fields = ("order", "priority", "confidence", "label", "keyword", "form", "regex")
+    listed = [dict(zip(fields, (s.order, s.priority, s.confidence, s.label, keyword_text(s.keyword), keyword_text(s.form), s.regex))) for s in rules]
+    table = F.from_json(F.lit(json.dumps(listed)), "array<struct<order:int,priority:int,confidence:double,label:string,keyword:string,form:string,regex:string>>")
     docs = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
-    gated = docs.select("_id", F.regexp_count("_t", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("bigint").alias("n_words"), F.when(F.col("_t").rlike(gate), normalised(F.col("_t"))).alias("_n"))
+    # Plain substring tests decide which texts are normalised and searched at all.
+    parted = docs.select("_id", "_t", F.lower("_t").alias("_low"), F.split("_t", NOT_WORD_ANY_CASE, -1).alias("_w"))
+    ends = F.when(F.get("_w", F.lit(0)) == "", 1).otherwise(0) + F.when((F.size("_w") > 1) & (F.element_at("_w", -1) == ""), 1).otherwise(0)
+    held = reduce(lambda x, y: x | y, [F.contains("_low", F.lit(k)) for k in gate_words(rules)])
+    gated = parted.select("_id", (F.size("_w") - ends).cast("bigint").alias("n_words"), F.when(held, normalised(F.col("_t"))).alias("_n"))
     # Where a phrase's words stand: the words before the first place and after the last one.
     pieces = gated.select("*", *[F.split("_n", keyword_text(p), -1).alias(f"_p{i}") for i, (p, _) in enumerate(BASE)])
     counted = pieces.select(

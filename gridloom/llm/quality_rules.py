@@ -47,22 +47,14 @@ def line_ok(line: Column) -> Column:
         (F.length(F.btrim(line, F.lit(SPACES))) == 0)
         | (
             line.rlike(SENTENCE_END)
-            & (_less(line, SYMBOLS) * 100 <= F.length(line) * SYMBOL_PCT)
-            & (_less(line, "!?") * 100 <= F.length(line) * SHOUT_PCT)
+            & ~(line.rlike(f"[{SYMBOLS}]") & (_less(line, SYMBOLS) * 100 > F.length(line) * SYMBOL_PCT))
+            & ~(line.rlike("[!?]") & (_less(line, "!?") * 100 > F.length(line) * SHOUT_PCT))
             & ~line.rlike(NAVIGATION)
             & ~((F.length(line) <= BOILERPLATE_CHARS) & line.rlike(BOILERPLATE))
         )
     )
 
 
-def _repeated_words(words: str) -> Column:
-    """Words that stand in a three-word window found twice or more; needs columns of :func:`assess`."""
-    window = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    # Hash first, so that most comparisons are of integers; the window itself makes equality exact.
-    ordered = F.sort_array(F.transform(F.slice(words, 1, F.size(words) - 2), lambda _, i: F.struct(F.xxhash64(window(i)).alias("h"), window(i).alias("g"), i.alias("p"))))
-    return F.when(F.size(words) < 3, F.array().cast("array<struct<h:bigint,g:string,p:int>>")).when(F.col("_distinct") < F.size(words) - 2, ordered).otherwise(F.array().cast("array<struct<h:bigint,g:string,p:int>>"))
-
-
 def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat_pct: int = 50, max_loss_pct: int = 50) -> DataFrame:
     """Counts, verdict and cleaned text of each document.
 
@@ -83,11 +75,21 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wo
         F.transform("_lines", lambda x: F.struct(x.alias("line"), line_ok(x).alias("ok"))).alias("_judged"),
         F.transform("_w", lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2))).alias("_h"),
     )
-    # A window's hash that is met twice shows that the exact count is needed; without one there is no repeat.
-    distinct = hashed.select("*", F.when(F.size("_w") < 3, F.lit(0)).otherwise(F.size(F.array_distinct(F.slice("_h", 1, F.size("_w") - 2)))).alias("_distinct"))
-    ordered = distinct.select("_id", "_t", "_w", "_full", "_judged", _repeated_words("_w").alias("_s"))
-    same = lambda e, i: F.coalesce(e["g"] == F.get("_s", i - 1)["g"], F.lit(False)) | F.coalesce(e["g"] == F.get("_s", i + 1)["g"], F.lit(False))
-    placed = ordered.select("_id", "_t", "_w", "_full", "_judged", F.sort_array(F.transform(F.filter("_s", same), lambda e: e["p"])).alias("_p"))
+    # A window's hash that is met twice shows that windows must be compared; without one there is no repeat.
+    inner = F.slice("_h", 1, F.size("_w") - 2)
+    distinct = hashed.select("*", F.when(F.size("_w") < 3, F.lit(0)).otherwise(F.size("_w") - 2 - F.size(F.array_distinct(inner))).alias("_again"))
+    # Sort integers that hold the hash's upper bits and the place; equal neighbours are then compared word by word.
+    place = F.when(F.size("_w") < 1 << 20, F.lit((1 << 20) - 1)).otherwise(F.lit((1 << 31) - 1)).cast("bigint")
+    tagged = F.when(F.col("_again") > 0, F.sort_array(F.transform(inner, lambda x, i: (x.bitwiseOR(place) - place).bitwiseOR(i.cast("bigint"))))).otherwise(F.array().cast("array<bigint>"))
+    ordered = distinct.select("_id", "_t", "_w", "_full", "_judged", place.alias("_mask"), tagged.alias("_s"))
+    at = lambda e, k=0: (e.bitwiseAND(F.col("_mask")) + k).cast("int")
+
+    def equal(e, o):
+        words = [F.get("_w", at(e, k)) == F.get("_w", at(o, k)) for k in range(3)]
+        return F.coalesce((e.bitwiseOR(F.col("_mask")) == o.bitwiseOR(F.col("_mask"))) & words[0] & words[1] & words[2], F.lit(False))
+
+    same = lambda e, i: equal(e, F.get("_s", i - 1)) | equal(e, F.get("_s", i + 1)) | equal(e, F.get("_s", i - 2)) | equal(e, F.get("_s", i + 2))
+    placed = ordered.select("_id", "_t", "_w", "_full", "_judged", F.sort_array(F.transform(F.filter("_s", same), lambda e: at(e))).alias("_p"))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("bigint").alias("n"))
     covered = F.aggregate("_p", start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
     chars = lambda lines: F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["line"]))
@@ -95,7 +97,7 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wo
         F.col("_id"),
         F.size("_w").cast("bigint").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("bigint").alias("word_chars"),
-        _less(F.col("_t"), SYMBOLS).cast("bigint").alias("n_symbols"),
+        F.when(F.col("_t").rlike(f"[{SYMBOLS}]"), _less(F.col("_t"), SYMBOLS)).otherwise(0).cast("bigint").alias("n_symbols"),
         (F.size("_full") - F.size(F.array_distinct("_full"))).cast("bigint").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.size("_judged").cast("bigint").alias("n_lines"),
@@ -106,4 +108,7 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wo
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct)
     summed = counted.select("*", F.size("_bad").cast("bigint").alias("n_bad_lines"), chars("_bad").alias("lost_chars"), failed.alias("base_failed"))
     kept = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("_chars") * max_loss_pct)
+    # Always true, but the optimiser can't know: else a filter on the verdict would be pushed below
+    # the counts it is made of, which would then be computed again for every element they range over.
+    kept = kept & (F.spark_partition_id() >= 0)
     return summed.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bad_lines", "lost_chars", "base_failed", kept.alias("kept"), "cleaned")
