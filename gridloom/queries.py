@@ -1,4 +1,4 @@
-"""Registered queries over the array, table, stream and task operators."""
+"""Registered queries over the array, table, stream and task operators, with DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.model import GridArray
+from gridloom.operators import elementwise, fourier, indexing, linalg, reduce, reshape, sorting, stencil, tables
+from gridloom.plans import tasks
+from gridloom.plans.durable import fresh_path
+from gridloom.sources import arrays
+from gridloom.streaming import region
 
 
 @dataclass(frozen=True)
@@ -15,3 +23,562 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = Query(f, sql)
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def matrix(spark: SparkSession, sf_dir: str) -> GridArray:
+    """The embeddings as a dense matrix; its height comes from the footer's row count."""
+    df = table(spark, sf_dir, "embeddings")
+    return arrays.from_array_column(df, "vec_id", "embedding", (df.count(), 64))
+
+
+def vector(spark: SparkSession, sf_dir: str) -> GridArray:
+    df = table(spark, sf_dir, "events")
+    return arrays.from_columns(df, ["event_id"], "value", (df.count(),))
+
+
+def sparse(spark: SparkSession, sf_dir: str) -> GridArray:
+    """Quantities by order and supplier."""
+    df = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("v"))
+    top = df.agg(F.max("l_orderkey"), F.max("l_suppkey")).first()
+    return arrays.from_columns(df, ["l_orderkey", "l_suppkey"], "v", (top[0] + 1, top[1] + 1), True)
+
+
+def gram(spark: SparkSession, sf_dir: str) -> GridArray:
+    return linalg.syrk(matrix(spark, sf_dir))
+
+
+def spd(spark: SparkSession, sf_dir: str) -> GridArray:
+    """The embeddings' Gram matrix plus the identity."""
+    g = gram(spark, sf_dir)
+    return g.values(F.col("v") + F.when(F.col("i0") == F.col("i1"), 1.0).otherwise(0.0))
+
+
+def rounded(a: GridArray, digits: int = 5) -> DataFrame:
+    """Cells rounded, with zero's sign dropped."""
+    return a.df.select(*a.index, (F.round("v", digits) + 0.0).alias("v"))
+
+
+E_ = "e as (select vec_id::bigint as i0, generate_subscripts(embedding, 1) - 1 as i1, unnest(embedding)::double as v from embeddings)"
+X_ = "x as (select event_id as i0, value as v from events)"
+N_ = "n as (select count(*) as n from events)"
+S_ = "s as (select l_orderkey as i0, l_suppkey as i1, sum(l_quantity) as v from lineitem group by 1, 2)"
+W = f"with {E_} "
+
+
+@query("entry_colmeans", W + "select 0::bigint as i0, i1, round(avg(v * 2 + 1), 5) + 0.0 as v from e group by i1")
+def _(s, d):
+    return rounded(reduce.reduce(elementwise.broadcast(lambda x, a, b: x * a + b, matrix(s, d), 2.0, 1.0), "mean", (0,)))
+
+
+for _op, _sql in {"sum": "sum(v)", "prod": "product(1 + v / 1e3)", "min": "min(v)", "max": "max(v)", "mean": "avg(v)", "var": "var_samp(v)", "std": "stddev_samp(v)", "norm": "sqrt(sum(v * v))"}.items():
+    _f = (lambda v: 1 + v / 1e3) if _op == "prod" else None
+    for _dims, _sel, _group in ((None, "", ""), ((0,), "0::bigint as i0, i1, ", " group by i1"), ((1,), "i0, 0::bigint as i1, ", " group by i0")):
+        if _dims is None and _op == "prod":
+            continue
+        _name = f"{_op}_" + ("all" if _dims is None else f"dims{_dims[0] + 1}")
+        query(_name, f"{W}select {_sel}round({_sql}, 5) + 0.0 as v from e{_group}")(lambda s, d, o=_op, k=_dims, f=_f: rounded(reduce.reduce(matrix(s, d), o, k, f)))
+
+
+@query("extrema_all", f"with {X_} select round(min(v), 6) as lo, round(max(v), 6) as hi from x")
+def _(s, d):
+    return reduce.reduce(vector(s, d), "extrema").df.select(F.round("v.min", 6).alias("lo"), F.round("v.max", 6).alias("hi"))
+
+
+@query("sum_init", f"with {X_} select round(5 + sum(v), 4) as v from x")
+def _(s, d):
+    return rounded(reduce.reduce(vector(s, d), "sum", init=5.0), 4)
+
+
+@query("mapreduce_abs2", W + "select round(sum(v * v), 4) + 0.0 as v from e")
+def _(s, d):
+    return rounded(reduce.reduce(matrix(s, d), "sum", f=lambda v: v * v), 4)
+
+
+@query("fold_dims2", W + "select i0, 0::bigint as i1, round(sum(abs(v)), 5) + 0.0 as v from e group by i0")
+def _(s, d):
+    return rounded(reduce.fold(matrix(s, d), lambda a, x: a + F.abs(x), 0.0, (1,)))
+
+
+@query("norm_upper", W + "select round(sqrt(sum(v * v)), 5) + 0.0 as v from e where i0 <= i1")
+def _(s, d):
+    return rounded(reduce.reduce(reduce.triangle(matrix(s, d)), "norm"))
+
+
+@query("is_symmetric", "select true as equal")
+def _(s, d):
+    return reduce.is_symmetric(gram(s, d), 1e-9)
+
+
+@query("is_finite", "select bool_and(isfinite(value)) as finite from events")
+def _(s, d):
+    return reduce.is_finite(vector(s, d))
+
+
+@query("histogram", "select event_type as bucket, count(*) as n from events group by 1")
+def _(s, d):
+    return reduce.histogram(table(s, d, "events"), F.col("event_type"))
+
+
+@query("bcast_scalar", W + "select i0, i1, round(sin(v) + 1, 5) + 0.0 as v from e")
+def _(s, d):
+    return rounded(elementwise.broadcast(lambda x, y: F.sin(x) + y, matrix(s, d), 1.0))
+
+
+@query("bcast_vec_mat", W + ", m as (select i0, avg(v) as m from e group by i0) select e.i0, e.i1, round(v - m, 5) + 0.0 as v from e join m using (i0)")
+def _(s, d):
+    a = matrix(s, d)
+    return rounded(elementwise.broadcast(lambda x, y: x - y, a, reduce.reduce(a, "mean", (1,))))
+
+
+@query("bcast_outer", W + ", m as (select i1, avg(v) as m from e group by i1), r as (select i0, max(v) as r from e group by i0) select r.i0, m.i1, round(r * m, 5) + 0.0 as v from r, m")
+def _(s, d):
+    a = matrix(s, d)
+    return rounded(elementwise.broadcast(lambda x, y: x * y, reduce.reduce(a, "max", (1,)), reduce.reduce(a, "mean", (0,))))
+
+
+@query("add_mat", W + "select i0, i1, round(v + v * v, 5) + 0.0 as v from e")
+def _(s, d):
+    a = matrix(s, d)
+    return rounded(a + a.values(F.col("v") * F.col("v")))
+
+
+@query("sub_mat", W + "select i0, i1, round(v - 3 * v, 5) + 0.0 as v from e")
+def _(s, d):
+    a = matrix(s, d)
+    return rounded(a - a * 3.0)
+
+
+@query("div_scalar", W + "select i0, i1, round(v / 7, 6) + 0.0 as v from e")
+def _(s, d):
+    return rounded(matrix(s, d) / 7.0, 6)
+
+
+@query("map_affine", f"with {X_} select i0, round(2 * v + 1, 5) + 0.0 as v from x")
+def _(s, d):
+    return rounded(elementwise.map_cells(lambda v: 2 * v + 1, vector(s, d)))
+
+
+@query("scale_diag", W + "select i0, i1, round(v * (i0 + 1), 4) + 0.0 as v from e")
+def _(s, d):
+    a = matrix(s, d)
+    return rounded(elementwise.scale_rows(arrays.allocate(s, a.shape[:1], lambda i: F.col(i[0]) + 1.0), a), 4)
+
+
+@query("eq_all", "select true as equal")
+def _(s, d):
+    a = matrix(s, d)
+    return elementwise.equal(a, a.T.T)
+
+
+@query("alloc_zeros_ones", "select count(*) as n, 1200.0 as total from range(1200)")
+def _(s, d):
+    both = arrays.zeros(s, (40, 30)) + arrays.ones(s, (40, 30))
+    return both.df.agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query("alloc_eye", "select range as i0, range as i1, 1.0::double as v from range(30)")
+def _(s, d):
+    return arrays.eye(s, 40, 30).df
+
+
+@query("alloc_random")
+def _(s, d):
+    kinds = [arrays.rand(s, (100, 100), 3), arrays.randn(s, (100, 100), 3), arrays.sprand(s, (100, 100), 0.1, 3), arrays.refill(arrays.zeros(s, (40, 40)), "laplace", 5)]
+    out = None
+    for n, a in enumerate(kinds):
+        own = a.df.agg(F.lit(n).alias("kind"), F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("deviation"))
+        out = own if out is None else out.union(own)
+    return out
+
+
+@query("tile_sums", W + "select (i0 // 100)::int as b0, (i1 // 16)::int as b1, round(sum(v), 5) + 0.0 as v from e group by 1, 2")
+def _(s, d):
+    return arrays.tiles(matrix(s, d), (100, 16)).groupBy("b0", "b1").agg((F.round(F.sum("v"), 5) + 0.0).alias("v"))
+
+
+@query("assign_tiles", W + "select (i0 // 100)::int as b0, count(*) as n from e group by 1")
+def _(s, d):
+    return arrays.assign(matrix(s, d), (100, 16), "cyclicrow", 4).groupBy("b0").agg(F.count("*").alias("n"))
+
+
+@query("save_load", W + "select i0, i1, round(v, 5) + 0.0 as v from e")
+def _(s, d):
+    path = fresh_path(s, "array")
+    arrays.save(matrix(s, d), path)
+    return rounded(arrays.load(s, path))
+
+
+@query("slice_range", W + "select i0 - 10 as i0, i1 - 3 as i1, round(v, 5) + 0.0 as v from e where i0 >= 10 and i0 < 50 and i1 >= 3 and i1 < 9")
+def _(s, d):
+    return rounded(indexing.take(matrix(s, d), slice(10, 50), slice(3, 9)))
+
+
+@query("slice_drop", W + "select i1 as i0, round(v, 5) + 0.0 as v from e where i0 = 7")
+def _(s, d):
+    return rounded(indexing.take(matrix(s, d), 7, slice(None)))
+
+
+@query("gather_repeated", W + ", k as (select * from (values (0::bigint, 5), (1, 2), (2, 5), (3, 40)) t(p, i0)) select p as i0, i1, round(v, 5) + 0.0 as v from e join k using (i0)")
+def _(s, d):
+    return rounded(indexing.take(matrix(s, d), [5, 2, 5, 40], slice(None)))
+
+
+@query("linear_index", W + "select round(v, 5) + 0.0 as v from e where i0 = 123 % (select count(*) from embeddings) and i1 = 123 // (select count(*) from embeddings)")
+def _(s, d):
+    return rounded(indexing.linear(matrix(s, d), 123))
+
+
+@query("first_last", f"with {X_}, {N_} select 'first' as k, round(v, 6) as v from x where i0 = 0 union all select 'last', round(v, 6) from x, n where i0 = n - 1")
+def _(s, d):
+    a = vector(s, d)
+    one = lambda k, x: x.df.select(F.lit(k).alias("k"), F.round("v", 6).alias("v"))
+    return one("first", indexing.first(a)).union(one("last", indexing.last(a)))
+
+
+@query("setindex_fn", W + "select i0, i1, round(case when i0 between 2 and 7 and i1 between 1 and 6 then 1.0 else v end, 5) + 0.0 as v from e")
+def _(s, d):
+    return rounded(indexing.set_value(matrix(s, d), [(2, 8), (1, 7)], 1.0))
+
+
+@query("set_block", W + "select a.i0, a.i1, round(coalesce(b.v, a.v), 5) + 0.0 as v from e a left join e b on b.i0 = a.i0 - 20 and b.i1 = a.i1 - 8 and b.i0 between 3 and 5 and b.i1 between 4 and 9")
+def _(s, d):
+    a = matrix(s, d)
+    return rounded(indexing.set_block(a, [(23, 26), (12, 18)], indexing.take(a, slice(3, 6), slice(4, 10))))
+
+
+@query("transpose", W + "select i1 as i0, i0 as i1, round(v, 5) + 0.0 as v from e")
+def _(s, d):
+    return rounded(matrix(s, d).T)
+
+
+@query("permute3", "select (range % 5) as i0, (range // 20) as i1, (range // 5 % 4) as i2, range::double as v from range(60)")
+def _(s, d):
+    a = arrays.allocate(s, (3, 4, 5), lambda i: (F.col(i[0]) * 20 + F.col(i[1]) * 5 + F.col(i[2])).cast("double"))
+    return reshape.permute(a, (2, 0, 1)).df
+
+
+@query("vcat", W + ", n as (select count(*) as n from embeddings) select i0, i1, round(v, 5) + 0.0 as v from e union all select i0 + n, i1, round(2 * v, 5) + 0.0 from e, n")
+def _(s, d):
+    a = matrix(s, d)
+    return rounded(reshape.concat(0, a, a * 2.0))
+
+
+@query("hcat", W + "select i0, i1, round(v, 5) + 0.0 as v from e union all select i0, i1 + 64, round(2 * v, 5) + 0.0 from e")
+def _(s, d):
+    a = matrix(s, d)
+    return rounded(reshape.concat(1, a, a * 2.0))
+
+
+@query("mirror", W + "select i0, i1, round(v, 5) + 0.0 as v from e where i0 <= i1 union all select i1, i0, round(v, 5) + 0.0 from e where i0 < i1")
+def _(s, d):
+    return rounded(reshape.mirror(matrix(s, d)))
+
+
+@query("sort_asc", f"with {X_} select row_number() over (order by v, i0) - 1 as i0, round(v, 6) as v from x")
+def _(s, d):
+    return sorting.sort(vector(s, d)).df.select("i0", F.round("v", 6).alias("v"))
+
+
+@query("sort_desc", f"with {X_} select row_number() over (order by v desc, i0) - 1 as i0, round(v, 6) as v from x")
+def _(s, d):
+    return sorting.sort(vector(s, d), reverse=True).df.select("i0", F.round("v", 6).alias("v"))
+
+
+@query("sort_by_key", f"with {X_} select row_number() over (order by abs(v - 50), i0) - 1 as i0, round(v, 6) as v from x")
+def _(s, d):
+    return sorting.sort(vector(s, d), by=lambda v: F.abs(v - 50)).df.select("i0", F.round("v", 6).alias("v"))
+
+
+def _at(p: str, c: str = "v") -> str:
+    """A cell of x at a position, as SQL."""
+    return f"(select {c} from x y where y.i0 = {p})"
+
+
+#: SQL of the value one position outside, left and right, by boundary.
+EDGES = {
+    "wrap": (stencil.wrap(), _at("n - 1"), _at("0")),
+    "pad": (stencil.pad(2.0), "2.0", "2.0"),
+    "clamp": (stencil.clamp(), _at("0"), _at("n - 1")),
+    "reflect": (stencil.reflect(), _at("0"), _at("n - 1")),
+    "mirror": (stencil.reflect(False), _at("1"), _at("n - 2")),
+    "antireflect": (stencil.anti_reflect(), f"-{_at('0')}", f"-{_at('n - 1')}"),
+    "extrap": (stencil.extrapolate(), f"2 * {_at('0')} - {_at('1')}", f"2 * {_at('n - 1')} - {_at('n - 2')}"),
+}
+for _kind, (_rule, _left, _right) in EDGES.items():
+    _sql = (
+        f"with {X_}, {N_}, edge as (select {_left} as l, {_right} as r from n) select i0, round(coalesce(lag(v) over (order by i0), l) + v + coalesce(lead(v) over (order by i0), r), 5) + 0.0 as v from x, edge"
+    )
+    query(f"st1_{_kind}", _sql)(lambda s, d, r=_rule: rounded(stencil.neighbours(vector(s, d), 1, r)))
+
+GRID = "g as (select vec_id::bigint as i0, generate_subscripts(embedding, 1) - 1 as i1, unnest(embedding)::double as v from embeddings), m as (select count(*) as m from embeddings), o as (select * from (values (-1), (0), (1)) t(o))"
+
+
+@query("st2_wrap", f"with {GRID} select (g.i0 + a.o + m) % m as i0, (g.i1 + b.o + 64) % 64 as i1, round(sum(v), 4) + 0.0 as v from g, o a, o b, m group by 1, 2")
+def _(s, d):
+    return rounded(stencil.neighbours(matrix(s, d), 1, stencil.wrap()), 4)
+
+
+@query(
+    "st2_mixed",
+    f"with {GRID}, t as (select i0, i1, a.o as p, b.o as q from g, o a, o b) select t.i0, t.i1, round(sum(case when t.i1 + q < 0 or t.i1 + q > 63 then 1.5 else g.v end), 4) + 0.0 as v "
+    "from t, m left join g on g.i0 = least(greatest(t.i0 + p, 0), m - 1) and g.i1 = least(greatest(t.i1 + q, 0), 63) group by 1, 2",
+)
+def _(s, d):
+    return rounded(stencil.neighbours(matrix(s, d), 1, (stencil.clamp(), stencil.pad(1.5))), 4)
+
+
+@query("st_max_fold", f"with {X_} select i0, round(greatest(coalesce(lag(v) over (order by i0), v), v, coalesce(lead(v) over (order by i0), v)), 6) as v from x")
+def _(s, d):
+    return rounded(stencil.neighbours(vector(s, d), 1, stencil.clamp(), fold=F.array_max), 6)
+
+
+@query(
+    "life_step",
+    f"with {GRID}, c as (select i0, i1, (v > 0)::bigint as v from g), t as (select (c.i0 + a.o + m) % m as i0, (c.i1 + b.o + 64) % 64 as i1, sum(v) as s from c, o a, o b, m group by 1, 2) "
+    "select t.i0, t.i1, (s - v = 3 or (v = 1 and s - v = 2))::bigint as v from t join c using (i0, i1)",
+)
+def _(s, d):
+    return stencil.life_step(matrix(s, d).values((F.col("v") > 0).cast("bigint"))).df
+
+
+@query("gram", W + "select a.i1 as i0, b.i1 as i1, round(sum(a.v * b.v), 4) + 0.0 as v from e a join e b using (i0) group by 1, 2")
+def _(s, d):
+    return rounded(gram(s, d), 4)
+
+
+@query("matvec", W + "select a.i0, round(sum(a.v * b.v), 4) + 0.0 as v from e a join e b on b.i0 = 0 and b.i1 = a.i1 group by 1")
+def _(s, d):
+    a = matrix(s, d)
+    return rounded(linalg.matmul(a, indexing.take(a, 0, slice(None))), 4)
+
+
+P2 = ", p as (select a.i1 as i0, b.i1 as i1, sum(a.v * b.v) as v from e a join e b using (i0) group by 1, 2)"
+
+
+@query("matmul", W + P2 + " select e.i0, p.i1, round(sum(e.v * p.v) / 1e3, 4) + 0.0 as v from e join p on e.i1 = p.i0 group by 1, 2")
+def _(s, d):
+    return rounded(linalg.matmul(matrix(s, d), gram(s, d)) / 1e3, 4)
+
+
+@query("matmul_tiled", W + P2 + " select e.i0, p.i1, round(sum(e.v * p.v) / 1e3, 4) + 0.0 as v from e join p on e.i1 = p.i0 group by 1, 2")
+def _(s, d):
+    return rounded(linalg.matmul_tiled(matrix(s, d), gram(s, d), 64) / 1e3, 4)
+
+
+@query("power2", W + P2 + " select a.i0, b.i1, round(sum(a.v * b.v) / 1e6, 4) + 0.0 as v from p a join p b on a.i1 = b.i0 group by 1, 2")
+def _(s, d):
+    return rounded(linalg.power(gram(s, d), 2) / 1e6, 4)
+
+
+@query("spmv", f"with {S_} select i0, round(sum(v * (1.0 / (1 + i1))), 4) + 0.0 as v from s group by 1")
+def _(s, d):
+    a = sparse(s, d)
+    return rounded(linalg.matmul(a, arrays.allocate(s, a.shape[1:], lambda i: 1.0 / (1 + F.col(i[0])))), 4)
+
+
+@query("spgemm", f"with {S_} select a.i1 as i0, b.i1 as i1, round(sum(a.v * b.v), 2) + 0.0 as v from s a join s b using (i0) group by 1, 2")
+def _(s, d):
+    a = sparse(s, d)
+    return rounded(linalg.matmul(a.T, a), 2)
+
+
+def _residual(a: GridArray, b: GridArray, name: str, limit: float) -> DataFrame:
+    """Whether two matrices agree relative to the first's largest cell."""
+    scale = a.df.agg(F.max(F.abs("v")).alias("top"))
+    worst = a.df.withColumnRenamed("v", "x").join(b.df, a.index, "full").agg(F.max(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("v", F.lit(0.0)))).alias("off"))
+    return worst.crossJoin(scale).select(F.lit(name).alias("name"), (F.col("off") <= limit * F.col("top")).alias("ok"))  # one row each
+
+
+def _ok(name: str) -> str:
+    return f"select '{name}' as name, true as ok"
+
+
+@query("cholesky_residual", _ok("cholesky"))
+def _(s, d):
+    a = spd(s, d)
+    f = linalg.cholesky(a)
+    return _residual(a, linalg.matmul(f, f.T), "cholesky", 1e-9)
+
+
+@query("lu_residual", _ok("lu"))
+def _(s, d):
+    a = spd(s, d)
+    low, up, order = linalg.lu(a)
+    moved = a.df.join(order.df.select(F.col("v").cast("bigint").alias("i0"), F.col("i0").alias("p")), "i0").select(F.col("p").alias("i0"), "i1", "v")
+    return _residual(GridArray(moved, a.shape), linalg.matmul(low, up), "lu", 1e-9)
+
+
+@query("qr_residual", _ok("qr"))
+def _(s, d):
+    a = matrix(s, d)
+    q, r = linalg.qr(a)
+    return _residual(a, linalg.matmul(q, r), "qr", 1e-7)
+
+
+@query("svdvals", _ok("svd"))
+def _(s, d):
+    """Squares of the singular values sum up to the squared norm, and they descend."""
+    a = matrix(s, d)
+    values = linalg.svd(a)[1]
+    total = reduce.reduce(a, "sum", f=lambda v: v * v).df.select(F.col("v").alias("t"))
+    got = values.df.agg(F.sum(F.col("v") * F.col("v")).alias("q"), F.transform(F.array_sort(F.collect_list(F.struct("i0", "v"))), lambda x: x["v"]).alias("l"))
+    return got.crossJoin(total).select(F.lit("svd").alias("name"), ((F.abs(F.col("q") - F.col("t")) < 1e-6 * F.col("t")) & (F.sort_array("l", False) == F.col("l"))).alias("ok"))
+
+
+@query("solve_residual", _ok("solve"))
+def _(s, d):
+    a = spd(s, d)
+    b = arrays.ones(s, (64,))
+    x = linalg.solve(a, b, "cholesky")
+    return _residual(b, linalg.matmul(a, x), "solve", 1e-6)
+
+
+@query("least_squares", _ok("lstsq"))
+def _(s, d):
+    """The residual of a tall system is orthogonal to its columns."""
+    a = matrix(s, d)
+    b = arrays.rand(s, a.shape[:1], 4)
+    left = linalg.matmul(a.T, linalg.matmul(a, linalg.solve(a, b)))
+    return _residual(linalg.matmul(a.T, b), left, "lstsq", 1e-6)
+
+
+@query("inverse_residual", _ok("inverse"))
+def _(s, d):
+    a = spd(s, d)
+    return _residual(arrays.eye(s, 64), linalg.matmul(a, linalg.inverse(a)), "inverse", 1e-6)
+
+
+@query("cg_residual", _ok("cg"))
+def _(s, d):
+    """Conjugate gradients on a one-dimensional Laplacian."""
+    n = 64
+    cells = s.range(n).select(F.col("id").alias("i0"), F.explode(F.array(F.struct((F.col("id") - 1).alias("j"), F.lit(-1.0).alias("v")), F.struct(F.col("id").alias("j"), F.lit(6.0).alias("v")), F.struct((F.col("id") + 1).alias("j"), F.lit(-1.0).alias("v")))).alias("x"))
+    a = GridArray(cells.select("i0", F.col("x.j").alias("i1"), F.col("x.v").alias("v")).filter(F.col("i1").between(0, n - 1)), (n, n), True)
+    b = arrays.ones(s, (n,))
+    return _residual(b, linalg.matmul(a, linalg.conjugate_gradient(a, b, 1e-4)), "cg", 1e-3)
+
+
+@query("fft_parseval", f"with {X_} select round(sum(v * v), 2) as energy from x")
+def _(s, d):
+    a = vector(s, d)
+    return fourier.transform(fourier.complex_cells(a), a.shape).agg(F.round(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / a.cells, 2).alias("energy"))
+
+
+@query("fft2_round_trip", W + "select i0, i1, round(v, 5) + 0.0 as v from e where i0 < 32")
+def _(s, d):
+    a = indexing.take(matrix(s, d), slice(0, 32), slice(None))
+    there = fourier.transform(fourier.complex_cells(a), a.shape)
+    back = fourier.transform(there, a.shape, inverse=True)
+    return back.select("i0", "i1", (F.round("re", 5) + 0.0).alias("v"))
+
+
+@query("tbl_map", "select l_orderkey, l_linenumber, round(l_quantity + l_extendedprice + l_discount + l_tax, 4) as s from lineitem")
+def _(s, d):
+    return tables.map_rows(table(s, d, "lineitem"), l_orderkey=F.col("l_orderkey"), l_linenumber=F.col("l_linenumber"), s=F.round(F.col("l_quantity") + F.col("l_extendedprice") + F.col("l_discount") + F.col("l_tax"), 4))
+
+
+@query("tbl_filter", "select l_orderkey, l_linenumber from lineitem where l_quantity > 10 and l_extendedprice > 10")
+def _(s, d):
+    return tables.filter_all(table(s, d, "lineitem"), lambda c: c > 10, ["l_quantity", "l_extendedprice"]).select("l_orderkey", "l_linenumber")
+
+
+@query("tbl_reduce", "select l_returnflag, round(sum(l_quantity), 2) as q, count(*) as n from lineitem group by 1")
+def _(s, d):
+    return table(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum("l_quantity"), 2).alias("q"), F.count("*").alias("n"))
+
+
+@query("tbl_innerjoin", "select o_orderpriority, count(*) as n, round(sum(l_quantity), 2) as q from lineitem join orders on l_orderkey = o_orderkey group by 1")
+def _(s, d):
+    right = table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    return tables.inner_join(table(s, d, "lineitem"), right, "l_orderkey").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
+
+
+def _events(s: SparkSession, d: str, r: region.Region, files: int = 4) -> DataFrame:
+    """The events as a stream of several files."""
+    path = fresh_path(s, "events")
+    df = table(s, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("v"))
+    df.repartition(files, "seq").write.parquet(path)
+    return r.source(path, df.schema)
+
+
+def _streamed(s: SparkSession, d: str, *build: Callable[[DataFrame], DataFrame], max_evals: int | None = None) -> list[DataFrame]:
+    r = region.Region(s)
+    with r:
+        stream = _events(s, d, r)
+        paths = [r.sink(f(stream), max_evals) for f in build]
+    r.wait()
+    return [r.read(p) for p in paths]
+
+
+@query("stream_map", "select event_id as seq, round(value + 1, 5) as v from events")
+def _(s, d):
+    return _streamed(s, d, lambda x: x.select("seq", F.round(F.col("v") + 1, 5).alias("v")))[0]
+
+
+@query("stream_zip", "select event_id as seq, round((value + 1) + (value + 2), 5) as v from events")
+def _(s, d):
+    def diamond(x):
+        left, right = x.select("seq", "ts", (F.col("v") + 1).alias("a")), x.select("seq", "ts", (F.col("v") + 2).alias("b"))
+        return region.zip_streams(left, right, "seq", "ts", "60 days").select(F.col("a.seq").alias("seq"), F.round(F.col("a.a") + F.col("b.b"), 5).alias("v"))
+
+    return _streamed(s, d, diamond)[0]
+
+
+@query("stream_fanout", "select event_id as seq, round(value * 2, 5) as v, 'double' as k from events union all select event_id, round(value / 2, 5), 'half' from events")
+def _(s, d):
+    one = lambda k, f: lambda x: x.select("seq", F.round(f(F.col("v")), 5).alias("v"), F.lit(k).alias("k"))
+    a, b = _streamed(s, d, one("double", lambda v: v * 2), one("half", lambda v: v / 2))
+    return a.union(b)
+
+
+@query("stream_max_evals", "select 100::bigint as n")
+def _(s, d):
+    return _streamed(s, d, lambda x: x.select("seq", "v"), max_evals=100)[0].agg(F.count("*").alias("n"))
+
+
+@query("stream_finish", "select 123 as result")
+def _(s, d):
+    r, seen = region.Region(s), []
+
+    def step(batch, number):
+        seen.append(123)
+        return True
+
+    r.each(_events(s, d, r), step)
+    r.wait()
+    return s.createDataFrame([(x,) for x in seen], "result int")
+
+
+@query("stream_window", "select time_bucket(interval '1 day', ts) as day, count(*) as n from events group by 1 having time_bucket(interval '1 day', ts) + interval '1 day' <= (select max(ts) from events)")
+def _(s, d):
+    days = _streamed(s, d, lambda x: region.windowed(x, "ts", "1 day", "60 days", F.count("*").alias("n")))[0]
+    # Windows still open at the end stay in the stream's state; the batch plan gives them.
+    closed = table(s, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 day")).agg(F.count("*").alias("n")).join(days.select("window"), "window", "left_anti")
+    top = table(s, d, "events").agg(F.max("ts").cast("timestamp").alias("top"))
+    return days.union(closed).crossJoin(top).filter("window.end <= top").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
+
+
+@query("checkpoint_restore", "select 1::bigint as v")
+def _(s, d):
+    path = fresh_path(s, "restore")
+    tasks.restore_or_run(s, path, lambda: s.range(1, 2).toDF("v"))
+    return tasks.restore_or_run(s, path, lambda: s.range(5, 6).toDF("v"))
+
+
+@query("task_graph", "select (select count(*) from orders) + (select count(*) from lineitem) as v")
+def _(s, d):
+    pool = tasks.Tasks(s)
+    a, b = pool.spawn(lambda: table(s, d, "orders").count()), pool.spawn(lambda: table(s, d, "lineitem").count())
+    return s.createDataFrame([(pool.spawn(lambda x, y: x + y, a, b).fetch(),)], "v bigint")
