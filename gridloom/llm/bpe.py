@@ -87,11 +87,16 @@ class WordBpe:
                 offer(before[i], i)
         return tuple(x for x in ids if x >= 0)
 
+    def split(self, text: str) -> list[str]:
+        """The normalised pre-tokens of text without special tokens."""
+        if not text.isascii():
+            text = self.white.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ")
+        return self.pieces.findall(text.lower())
+
     def encode_plain(self, text: str) -> list[int]:
         """Ids of text without special tokens."""
-        text = self.white.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
         out: list[int] = []
-        for piece in self.pieces.findall(text):
+        for piece in self.split(text):
             ids = self.words.get(piece)
             if ids is None:
                 if len(self.words) >= CACHE_ENTRIES:
@@ -132,7 +137,7 @@ class Chunks:
         cache = self.cache
         parts = text.encode().split()
         out = list(map(cache.get, parts))
-        if None in out:
+        if not all(out):  # a miss, or a chunk without tokens
             missing = list({p for p, v in zip(parts, out) if v is None})
             if len(cache) + len(missing) > CACHE_ENTRIES:
                 cache.clear()
@@ -165,11 +170,22 @@ def library_chunks(path: str) -> Chunks:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def compute(chunks: list[str]) -> list[bytes]:
+    bpe, pieces = model(path), {}
+
+    def library(texts: list[str]) -> list[bytes]:
         import array
 
-        found = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [array.array("I", x.ids).tobytes() for x in found]
+        return [array.array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def compute(chunks: list[str]) -> list[bytes]:
+        # Chunks differ by case and marks more than by words: the library encodes each new pre-token once.
+        cut = [[c] if "<|" in c else bpe.split(c) for c in chunks]
+        missing = list({p for ps in cut for p in ps if p not in pieces})
+        if len(pieces) + len(missing) > CACHE_ENTRIES:
+            pieces.clear()
+            missing = list({p for ps in cut for p in ps})
+        pieces.update(zip(missing, library(missing)))
+        return [pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps]) for ps in cut]
 
     return Chunks(compute)
 
