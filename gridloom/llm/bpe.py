@@ -26,8 +26,8 @@ from gridloom.llm.arrow import map_rows, text_or_empty
 
 #: White space outside ASCII that the vocabulary's normaliser turns into a space (fixed values of Unicode's White_Space).
 WHITE = "[\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-#: Entries of a worker's cache of encoded chunks; it starts anew when full, which changes no result.
-CACHE_ENTRIES = 300_000
+#: Entries of each half of a worker's cache of encoded chunks, and of pre-tokens; results don't depend on it.
+CACHE_ENTRIES = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -99,7 +99,7 @@ class WordBpe:
         for piece in self.split(text):
             ids = self.words.get(piece)
             if ids is None:
-                if len(self.words) >= CACHE_ENTRIES:
+                if len(self.words) >= 2 * CACHE_ENTRIES:
                     self.words.clear()
                 ids = self.words[piece] = self.merge(piece)
             out += ids
@@ -131,18 +131,20 @@ class Chunks:
     """
 
     def __init__(self, compute):
-        self.compute, self.cache = compute, {}
+        self.compute, self.cache, self.older = compute, {}, {}
 
     def of(self, text: str) -> list:
         cache = self.cache
         parts = text.encode().split()
         out = list(map(cache.get, parts))
         if not all(out):  # a miss, or a chunk without tokens
-            missing = list({p for p, v in zip(parts, out) if v is None})
-            if len(cache) + len(missing) > CACHE_ENTRIES:
-                cache.clear()
-            new = dict(zip(missing, self.compute([p.decode() for p in missing])))
-            cache.update(new)
+            missing = {p for p, v in zip(parts, out) if v is None}
+            new = {p: self.older[p] for p in missing if p in self.older}
+            rest = [p for p in missing if p not in new]
+            new.update(zip(rest, self.compute([p.decode() for p in rest])))
+            if len(cache) + len(new) > CACHE_ENTRIES:  # what is still in use comes back from the older half
+                self.older, self.cache = cache, {}
+            self.cache.update(new)
             out = [v if v is not None else new[p] for p, v in zip(parts, out)]
         return out
 
@@ -181,7 +183,7 @@ def library_chunks(path: str) -> Chunks:
         # Chunks differ by case and marks more than by words: the library encodes each new pre-token once.
         cut = [[c] if "<|" in c else bpe.split(c) for c in chunks]
         missing = list({p for ps in cut for p in ps if p not in pieces})
-        if len(pieces) + len(missing) > CACHE_ENTRIES:
+        if len(pieces) + len(missing) > 2 * CACHE_ENTRIES:
             pieces.clear()
             missing = list({p for ps in cut for p in ps})
         pieces.update(zip(missing, library(missing)))
