@@ -27,7 +27,7 @@ from gridloom.llm.arrow import map_rows, text_or_empty
 #: White space outside ASCII that the vocabulary's normaliser turns into a space (fixed values of Unicode's White_Space).
 WHITE = "[\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 #: Entries of each half of a worker's cache of encoded chunks, and of pre-tokens; results don't depend on it.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 350_000
 
 
 def byte_symbols() -> list[str]:
@@ -89,7 +89,12 @@ class WordBpe:
 
     def split(self, text: str) -> list[str]:
         """The normalised pre-tokens of text without special tokens."""
-        if not text.isascii():
+        if text.isascii():
+            if text.isalpha():
+                return [text.lower()]
+            if text[-1:] in ".,!?;:" and text[:-1].isalpha():
+                return [text[:-1].lower(), text[-1]]
+        else:
             text = self.white.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ")
         return self.pieces.findall(text.lower())
 
@@ -138,14 +143,16 @@ class Chunks:
         parts = text.encode().split()
         out = list(map(cache.get, parts))
         if not all(out):  # a miss, or a chunk without tokens
-            missing = {p for p, v in zip(parts, out) if v is None}
+            places = [i for i, v in enumerate(out) if v is None]
+            missing = {parts[i] for i in places}
             new = {p: self.older[p] for p in missing if p in self.older}
             rest = [p for p in missing if p not in new]
             new.update(zip(rest, self.compute([p.decode() for p in rest])))
             if len(cache) + len(new) > CACHE_ENTRIES:  # what is still in use comes back from the older half
                 self.older, self.cache = cache, {}
             self.cache.update(new)
-            out = [v if v is not None else new[p] for p, v in zip(parts, out)]
+            for i in places:
+                out[i] = new[parts[i]]
         return out
 
 
