@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows that are Python values at once.
+SLICE_ROWS = 512
+
+
 def map_rows(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """Rows that the generator ``fn(*row)`` yields as tuples of ``schema``, for each row of ``df``.
 
@@ -19,12 +23,11 @@ def map_rows(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                out.extend(fn(*row))
-                if len(out) >= 4096:
-                    yield to_batch(out, target)
-                    out = []
+        for row in rows_of(batches):
+            out.extend(fn(*row))
+            if len(out) >= 4096:
+                yield to_batch(out, target)
+                out = []
         if out:
             yield to_batch(out, target)
 
@@ -45,9 +48,10 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The tuples of Arrow batches, in order."""
+    """The tuples of Arrow batches, in order; only a slice of a batch is held as Python values."""
     for batch in batches:
-        yield from zip(*[c.to_pylist() for c in batch.columns])
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield from zip(*[c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns])
 
 
 def text_or_empty(name: str) -> Column:
@@ -62,17 +66,18 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, data: bytes) -> None:
-    """Write a whole file under a name of its own, then give it its final name.
+def write_file(uri: str, *parts) -> None:
+    """Write a whole file, its parts one after another, under a name of its own, then give it its final name.
 
     Attempts of one task use different names, so none reads or overwrites
     another's half-written file.
     """
     system, path = file_system(uri)
-    part = f"{path}.part"
-    with system.open_output_stream(part, compression=None) as out:
-        out.write(data)
-    system.move(part, path)
+    own = f"{path}.part"
+    with system.open_output_stream(own, compression=None) as out:
+        for x in parts:
+            out.write(x)
+    system.move(own, path)
 
 
 def make_dir(uri: str) -> None:

@@ -101,16 +101,30 @@ class EliasFano:
             yield from self.block(k).tolist()
 
 
-def shard_bytes(keys: list[int | None], ids: list[bytes], end_id: int) -> bytes:
-    """A shard file of documents in order; ``ids``: each one's little-endian 32-bit ids with its end id."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    width = 2 if not len(flat) or flat.max() < 65536 else 4
-    known = np.array([k for k in keys if k is not None], np.int64)
-    first = int(known[0]) if len(known) else 0
-    ends = EliasFano.of(np.cumsum([len(x) // 4 for x in ids]))
-    docs = EliasFano.of((known - first).view(np.uint64))
-    head = MAGIC + HEADER.pack(len(keys), len(flat), width, len(keys) - len(known), first, end_id)
-    return head + ends.to_bytes() + docs.to_bytes() + flat.astype(f"<u{width}").tobytes()
+class ShardBuffer:
+    """A shard's documents as they come: ids in the narrowest width so far, one copy of them."""
+
+    def __init__(self, end_id: int):
+        self.end_id, self.width, self.keys, self.lengths, self.flat, self.n_ids = end_id, 2, [], [], bytearray(), 0
+
+    def add(self, key: int | None, ids: bytes) -> None:
+        """A document's little-endian 32-bit ids with its end id."""
+        new = np.frombuffer(ids, "<u4")
+        if self.width == 2 and len(new) and new.max() > 65535:
+            self.width, self.flat = 4, bytearray(np.frombuffer(self.flat, "<u2").astype("<u4"))
+        self.flat += new.astype(f"<u{self.width}").data
+        self.keys.append(key)
+        self.lengths.append(len(new))
+        self.n_ids += len(new)
+
+    def parts(self) -> list:
+        """The file, in parts to write one after another."""
+        known = np.array([k for k in self.keys if k is not None], np.int64)
+        first = int(known[0]) if len(known) else 0
+        ends = EliasFano.of(np.cumsum(self.lengths))
+        docs = EliasFano.of((known - first).view(np.uint64))
+        head = MAGIC + HEADER.pack(len(self.keys), self.n_ids, self.width, len(self.keys) - len(known), first, self.end_id)
+        return [head, ends.to_bytes(), docs.to_bytes(), self.flat]
 
 
 class Shard:
@@ -162,21 +176,19 @@ def write(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", t
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        end, keys, ids, size = struct.pack("<I", end_id), [], [], 0
+        end, shard = struct.pack("<I", end_id), ShardBuffer(end_id)
 
         def close() -> pa.RecordBatch:
             name = f"{part:08d}-{seq:06d}-{uuid.uuid4().hex}.ids"
-            write_file(f"{folder}/{name}", shard_bytes(keys, ids, end_id))
-            return to_batch([(name, part, seq, len(keys), size)], target)
+            write_file(f"{folder}/{name}", *shard.parts())
+            return to_batch([(name, part, seq, len(shard.keys), shard.n_ids)], target)
 
         for key, text in rows_of(batches):
-            keys.append(key)
-            ids.append(library_ids(text, vocabulary) + end)
-            size += len(ids[-1]) // 4
-            if size >= shard_ids:
+            shard.add(key, library_ids(text, vocabulary) + end)
+            if shard.n_ids >= shard_ids:
                 yield close()
-                keys, ids, size, seq = [], [], 0, seq + 1
-        if keys:
+                shard, seq = ShardBuffer(end_id), seq + 1
+        if shard.keys:
             yield close()
 
     return materialize(ranged.mapInArrow(run, schema), "manifest")
