@@ -18,6 +18,7 @@ import json
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -180,11 +181,23 @@ def library_chunks(path: str) -> Chunks:
     tokenizer.no_padding()
 
     bpe, pieces = model(path), {}
+    last = np.zeros(max(bpe.strings) + 1, bool)
+    last[[i for i, x in bpe.strings.items() if bpe.end and x.endswith(bpe.end) and x not in bpe.special]] = True
 
     def library(texts: list[str]) -> list[bytes]:
-        import array
-
-        return [array.array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # Pre-tokens between spaces are encoded at once; the word ends among the ids part them again.
+        whole = [x for x in texts if "<|" not in x]
+        found: dict[str, bytes] = {}
+        if whole:
+            ids = np.array(tokenizer.encode(" ".join(whole), add_special_tokens=False).ids, "<u4")
+            ends = ((np.flatnonzero(last[ids]) + 1) * 4).tolist()
+            if len(ends) == len(whole):
+                data = ids.tobytes()
+                found = {x: data[a:b] for x, a, b in zip(whole, [0, *ends], ends)}
+        rest = [x for x in texts if x not in found]
+        if rest:  # special tokens, or a vocabulary without word ends
+            found.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
+        return [found[x] for x in texts]
 
     def compute(chunks: list[str]) -> list[bytes]:
         # Chunks differ by case and marks more than by words: the library encodes each new pre-token once.
