@@ -50,9 +50,11 @@ CUT_WORDS = frozenset(
     "promotion promoted cookie cookies consent gdpr notice notices alert banner popup modal overlay lightbox newsletter subscribe subscription signup login comment comments commentlist disqus respond "
     "reply replies discussion share sharing social related recommended recommendations pagination pager widget widgets skip copyright legal disclaimer hidden".split()
 )
+#: Of these, the words of reader comments, which may be marked up as articles of their own.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 GOOD_WORDS = frozenset("article body content entry main post story text prose".split())
 SCORED = frozenset("p pre td blockquote li dd h2 h3 h4 h5 h6".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
@@ -61,10 +63,10 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element; ``children`` holds elements and strings."""
 
-    __slots__ = ("tag", "words", "role", "hidden", "parent", "children", "score", "size", "linked", "commas")
+    __slots__ = ("tag", "words", "role", "hidden", "parent", "children", "holds", "score", "size", "linked", "commas")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
-        self.tag, self.parent, self.children, self.score = tag, parent, [], 0.0
+        self.tag, self.parent, self.children, self.holds, self.score = tag, parent, [], False, 0.0
         self.words, self.role, self.hidden = frozenset(), "", False
         if attributes and not attributes.isspace():
             found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
@@ -78,7 +80,12 @@ class Node:
             return True
         if self.tag == "header":  # a page's, not an article's own heading
             return not any(n.tag in ("article", "main") for n in ancestors(self))
-        return self.tag not in ("html", "body", "article", "main", "p") and bool(self.words & CUT_WORDS)
+        hit = self.words & CUT_WORDS
+        if not hit or self.tag in ("html", "body", "main"):
+            return False
+        if self.tag == "article":
+            return not self.words & GOOD_WORDS
+        return bool(hit & COMMENT_WORDS) or not self.holds  # a layout named after its sidebar holds the article too
 
 
 def ancestors(node: Node):
@@ -129,6 +136,11 @@ def build(page: str) -> Node:
                 now = node.parent
         node = Node(tag, m[3], now)
         now.children.append(node)
+        if tag in ("article", "main") and not node.words & CUT_WORDS:
+            for holder in ancestors(node):
+                if holder.holds:
+                    break
+                holder.holds = True
         if tag in VOID:
             continue
         if tag in RAW:

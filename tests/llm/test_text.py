@@ -235,6 +235,15 @@ def test_html(spark):
     assert got == sorted([(1, "u", want, len(want)), (2, None, "", 0), (None, "u", "", 0), (3, "u", "broken", 6), (4, "u", "plain text", 10), (4, "u", "plain text", 10)], key=repr)
 
 
+def test_html_names_and_quotes():
+    body = "<p>One, two, and a good many more words that make up a paragraph of prose.</p>"
+    prose = "One, two, and a good many more words that make up a paragraph of prose."
+    assert html_text.main_text(f"<div class='layout has-sidebar'><article>{body}</article><div class=sidebar>{body}</div></div>") == prose
+    assert html_text.main_text(f"<article>{body}<p class=advert>Buy, buy, buy this thing now, while it is here.</p></article><div id=comments><article class=comment-body>{body}</article></div>") == prose
+    assert html_text.main_text(f"<article><!--><p title=it's>It isn't cut.</p>{body}</article>") == f"It isn't cut.\n{prose}"
+    assert html_text.main_text(f"<article><a title='a > b'></a>{body}<!-- no --!></article>") == prose
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     for f in (lambda d: bpe.round_trip(d, vocabulary()), lambda d: token_files.round_trip(d, vocabulary()), order_minhash.fingerprint_edits, lambda d: packing.pack_documents(d, vocabulary()), simhash.near_duplicates, secret_scan.scan):
