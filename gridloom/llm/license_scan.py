@@ -1,7 +1,8 @@
 """License detection by ordered signature rules, with DataFrame functions only.
 
-A table of regular expressions over normalised words is gated by keywords: a
-document is searched only for rules whose keyword it holds.  Rules are ordered
+A table of regular expressions over normalised words is gated by substrings: a
+document is searched only for rules whose form's words it holds and whose name's
+text, derived from the name's pattern, stands in every match.  Rules are ordered
 by priority (identifier, grant, license name, bare name).  Of overlapping
 detections one that lies within another of the same or a higher priority is
 suppressed; of equal intervals the earlier rule stays.
@@ -18,6 +19,7 @@ result.  Only the id and text columns are read.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,7 +33,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base phrases and their labels, fixed by the contract.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Label, keyword that a text must hold, and the names' word patterns; ``~`` marks an optional word.
+#: Label, keyword (gates the SQL's rules; the query takes ``held_text``), and the names' word patterns; ``~`` marks an optional word.
 FAMILIES = (
     ("mit", "mit", ("mit", "expat", "mit expat")),
     ("apache", "apache", ("apache", "apache software", "apache ~version 2 ~0", "asl 2 0")),
@@ -89,6 +91,7 @@ class Signature:
     keyword: str
     form: str
     regex: str
+    name: str
 
 
 def word_regex(words: str) -> str:
@@ -100,16 +103,26 @@ def keyword_text(words: str) -> str:
     return "".join(f" {w} " for w in words.split())
 
 
+def held_text(words: str) -> str:
+    """The longest text that stands in every match of ``word_regex(words)``: no optional word and no class of characters."""
+    runs = [""]
+    for w in words.split():
+        first, *rest = ("", "") if w[0] == "~" else re.split(r"\[[^]]*\]", f" {w} ")
+        runs[-1] += first
+        runs += rest
+    return max(runs, key=len)
+
+
 def signatures() -> tuple[Signature, ...]:
     """The rules by priority, then family; some hundreds, made of the families' names and the forms."""
-    found = [(priority, confidence, label, keyword, held, form.replace("N", name)) for priority, confidence, held, form in FORMS for label, keyword, names in FAMILIES for name in names]
-    found += [(4, 0.6, label, keyword, keyword, name) for label, keyword, names in FAMILIES if label in BARE for name in names]
-    return tuple(Signature(k, p, c, label, keyword, held, word_regex(words)) for k, (p, c, label, keyword, held, words) in enumerate(sorted(found, key=lambda x: x[0])))
+    found = [(priority, confidence, label, keyword, held, form.replace("N", name), name) for priority, confidence, held, form in FORMS for label, keyword, names in FAMILIES for name in names]
+    found += [(4, 0.6, label, keyword, keyword, name, name) for label, keyword, names in FAMILIES if label in BARE for name in names]
+    return tuple(Signature(k, p, c, label, keyword, held, word_regex(words), held_text(name)) for k, (p, c, label, keyword, held, words, name) in enumerate(sorted(found, key=lambda x: x[0])))
 
 
 def gate_words(rules: tuple[Signature, ...]) -> list[str]:
     """Words of which a text must hold one, as a substring, to match any rule or base phrase: each rule's longest."""
-    words = {max((s.form if s.priority != 3 else "licens").split(), key=len) for s in rules if s.form != "licence"} | {"licenc" for s in rules if s.form == "licence"}
+    words = {max((s.name if s.priority == 4 else s.form if s.priority != 3 else "licens").split(), key=len) for s in rules if s.form != "licence"} | {"licenc" for s in rules if s.form == "licence"}
     words |= {max(p.split(), key=len) for p, _ in BASE}
     return sorted(w for w in words if not any(o != w and o in w for o in words))
 
@@ -149,9 +162,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: t
     """
     rules = signatures() if rules is None else rules
     # One literal: the optimiser folds it, so it is built once and not row by row.
-    fields = ("order", "priority", "confidence", "label", "keyword", "form", "regex")
-    listed = [dict(zip(fields, (s.order, s.priority, s.confidence, s.label, keyword_text(s.keyword), keyword_text(s.form), s.regex))) for s in rules]
-    table = F.from_json(F.lit(json.dumps(listed)), "array<struct<order:int,priority:int,confidence:double,label:string,keyword:string,form:string,regex:string>>")
+    fields = ("order", "priority", "confidence", "label", "name", "form", "regex")
+    listed = [dict(zip(fields, (s.order, s.priority, s.confidence, s.label, s.name, s.name if s.priority == 4 else keyword_text(s.form), s.regex))) for s in rules]
+    table = F.from_json(F.lit(json.dumps(listed)), "array<struct<order:int,priority:int,confidence:double,label:string,name:string,form:string,regex:string>>")
     docs = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
     # Plain substring tests decide which texts are normalised and searched at all.
     parted = docs.select("_id", "_t", F.lower("_t").alias("_low"), F.split("_t", NOT_WORD_ANY_CASE, -1).alias("_w"))
@@ -170,7 +183,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: t
     )
     has = lambda i: F.col(f"_c{i}") > 0
     none = F.array().cast("array<struct<start:bigint,end:bigint,priority:int,order:int,label:string,confidence:double>>")
-    hits = F.flatten(F.transform(F.filter(table, lambda r: F.contains(F.col("_n"), r["form"]) & F.contains(F.col("_n"), r["keyword"])), lambda r: _occurrences(F.col("_n"), r)))
+    hits = F.flatten(F.transform(F.filter(table, lambda r: F.contains(F.col("_n"), r["form"]) & F.contains(F.col("_n"), r["name"])), lambda r: _occurrences(F.col("_n"), r)))
     numbers = range(len(BASE))
     found = counted.select(
         "_id",

@@ -95,6 +95,39 @@ def test_licenses(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == plain_licenses(text), text
 
 
+def test_license_names_without_keyword(spark):
+    """Names that do not hold their family's keyword as words of its own."""
+    texts = [
+        "licensed under the GNU GPLv3 license",
+        "gplv2 only",
+        "LGPLv3",
+        "Licensed under the AGPLv3.",
+        "GNU General Public Licence",
+        "the GNU Library General Public License",
+        "ASL 2.0 license",
+        "Expat license",
+        "released under the PSF license",
+        "BSL 1.0 license",
+        "Internet Systems Consortium license",
+    ]
+    got = {r.doc_id: r for r in license_scan.scan(rows_of(spark, [*texts[:2], None, *texts[2:]])).collect()}
+    labels = ["gpl", "gpl", "lgpl", "agpl", "gpl", "gpl,lgpl", "apache", "mit", "python", "boost", "isc"]
+    for i, (text, label) in enumerate(zip(texts, labels)):
+        r = got[i if i < 2 else i + 1]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == plain_licenses(text), text
+        assert r.labels == label and r.score >= 0.6
+
+
+def test_license_gates():
+    rules = license_scan.signatures()
+    assert {license_scan.held_text(x) for x in ("gplv[123]", "~gnu lgpl", "[234] clause bsd", "cc by [1234] [05]")} == {" gplv", " lgpl ", "  clause  bsd ", " cc  by  "}
+    words = license_scan.gate_words(rules)
+    for s in rules:
+        least = re.sub(r"\(\?:[^)]*\)\?", "", s.regex)
+        least = re.sub(r"\[(.)[^]]*\]", r"\1", least)
+        assert re.fullmatch(s.regex, least) and s.name in least and any(w in least for w in words)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert quality_rules.assess(none).count() == license_scan.scan(none).count() == 0
