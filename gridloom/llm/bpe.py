@@ -180,13 +180,17 @@ def library_chunks(path: str) -> Chunks:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    bpe, pieces = model(path), {}
+    bpe, pieces, apart = model(path), {}, set()
     last = np.zeros(max(bpe.strings) + 1, bool)
     last[[i for i, x in bpe.strings.items() if bpe.end and x.endswith(bpe.end) and x not in bpe.special]] = True
 
+    def stable(piece: str) -> bool:
+        # The library normalises again what it gets; NFC would reorder marks that lower-casing left out of order (after U+0130).
+        return piece.isascii() or unicodedata.is_normalized("NFC", piece)
+
     def library(texts: list[str]) -> list[bytes]:
         # Pre-tokens between spaces are encoded at once; the word ends among the ids part them again.
-        whole = [x for x in texts if "<|" not in x]
+        whole = [x for x in texts if "<|" not in x and x not in apart]
         found: dict[str, bytes] = {}
         if whole:
             ids = np.array(tokenizer.encode(" ".join(whole), add_special_tokens=False).ids, "<u4")
@@ -200,8 +204,13 @@ def library_chunks(path: str) -> Chunks:
         return [found[x] for x in texts]
 
     def compute(chunks: list[str]) -> list[bytes]:
+        apart.clear()
         # Chunks differ by case and marks more than by words: the library encodes each new pre-token once.
         cut = [[c] if "<|" in c else bpe.split(c) for c in chunks]
+        for i, (c, ps) in enumerate(zip(chunks, cut)):
+            if not c.isascii() and not all(map(stable, ps)):
+                cut[i] = [c]
+                apart.add(c)
         missing = list({p for ps in cut for p in ps if p not in pieces})
         if len(pieces) + len(missing) > 2 * CACHE_ENTRIES:
             pieces.clear()

@@ -64,6 +64,15 @@ def test_token_files(docs, real, library):
         assert sorted(map(tuple, got), key=lambda x: x[1]) == want
 
 
+def test_marks_after_lower_case(library):
+    """Letters with marks that NFC composes or reorders only in lower case."""
+    letters = [chr(c) for c in range(0x41, 0x590) if chr(c).lower() != chr(c)]
+    texts = [f"a{x}{chr(m)}b" for x in letters for m in range(0x300, 0x370)] + ["H\u0331amas", "J\u030c", "T\u0308", "W\u030a", "Y\u030a", "\u0130\u0327\u0316x <|endoftext|>\u0130\u0327"]
+    for at in range(0, len(texts), 1000):
+        text = " ".join(texts[at : at + 1000])
+        assert bpe.library_ids(text, vocabulary()) == np.array(ids_of(library, text), "<u4").tobytes()
+
+
 def test_elias_fano():
     for n, top in ((0, 0), (1, 0), (300, 10), (1000, 10**12), (600, 600)):
         v = np.sort(np.random.default_rng(n).integers(0, top + 1, n))
