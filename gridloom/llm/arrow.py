@@ -70,10 +70,12 @@ def write_file(uri: str, *parts) -> None:
     """Write a whole file, its parts one after another, under a name of its own, then give it its final name.
 
     Attempts of one task use different names, so none reads or overwrites
-    another's half-written file.
+    another's half-written file.  Until it is whole, a file's name starts with
+    ``_``, which Spark's readers of the folder skip.
     """
     system, path = file_system(uri)
-    own = f"{path}.part"
+    folder, _, name = path.rpartition("/")
+    own = f"{folder}/_{name}.part"
     with system.open_output_stream(own, compression=None) as out:
         for x in parts:
             out.write(x)

@@ -223,6 +223,18 @@ def test_warc(spark):
     assert keys == sorted(keys)
 
 
+def test_torn_files_are_skipped(spark, tmp_path):
+    """What an attempt that died while writing left behind is not read."""
+    from gridloom.llm import arrow
+
+    for name in ("a.ids", "a.warc.gz"):
+        with pytest.raises(TypeError):
+            arrow.write_file(f"file://{tmp_path}/{name}", b"torn", None)
+    arrow.write_file(f"file://{tmp_path}/b.ids", b"who", b"le")
+    assert len(list(tmp_path.iterdir())) == 3
+    assert [bytes(r.content) for r in spark.read.format("binaryFile").load(f"file://{tmp_path}").select("content").collect()] == [b"whole"]
+
+
 def test_loser_tree():
     rng = np.random.default_rng(1)
     for k in range(8):
