@@ -1,7 +1,9 @@
 """Main text of web pages by tree scoring.
 
 The page's tree is built with HTML's implied end tags.  Subtrees that are not
-prose by their tag, role or class (menus, adverts, forms, comments, ...) are cut.
+prose by their tag, role or class (menus, adverts, forms, comments, ...) are cut,
+but names are weak evidence: wrappers and names that only contain a cut word give
+way to the page's prose, and ids made from headings don't count.
 Each paragraph earns points for its length and commas; its container gets them
 all and the containers above get shares; a container's points are discounted by
 the share of its text that stands in links.  The container with most points is
@@ -43,8 +45,15 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 #: Subtrees that hold no prose, by tag, by role, and by a word of class or id.
-CUT_TAGS = frozenset("script style noscript template head nav aside footer form button select input textarea iframe object embed svg canvas menu dialog title fieldset audio video map".split())
-CUT_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar form".split())
+CUT_TAGS = frozenset("script style noscript template head nav aside footer button select input textarea iframe object embed svg canvas menu title audio video map".split())
+CUT_ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog menu menubar".split())
+#: Cut unless the page's prose stands in them, by tag or role.
+WRAPPERS = frozenset("form fieldset dialog".split())
+#: Headings, and other elements that are named after one: a cut word in part of their id says nothing.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+SECTIONS = HEADINGS | frozenset("article section p blockquote pre li dd dt figure table".split())
+#: Characters of a block that is prose, and of prose that keeps a form beside other prose.
+PROSE_CHARS, FORM_CHARS = 50, 500
 CUT_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side rail aside footer masthead topbar toolbar ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo "
     "promotion promoted cookie cookies consent gdpr notice notices alert banner popup modal overlay lightbox newsletter subscribe subscription signup login comment comments commentlist disqus respond "
@@ -63,29 +72,70 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element; ``children`` holds elements and strings."""
 
-    __slots__ = ("tag", "words", "role", "hidden", "parent", "children", "holds", "score", "size", "linked", "commas")
+    __slots__ = ("tag", "words", "whole", "part", "good", "role", "hidden", "parent", "children", "holds", "score", "size", "linked", "commas", "prose", "text", "run", "run_linked")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.children, self.holds, self.score = tag, parent, [], False, 0.0
-        self.words, self.role, self.hidden = frozenset(), "", False
+        self.words, self.whole, self.part, self.good, self.role, self.hidden = frozenset(), frozenset(), frozenset(), False, "", False
         if attributes and not attributes.isspace():
             found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
             if named := f"{found.get('class', '')} {found.get('id', '')}".strip():
                 self.words = frozenset(w.lower() for w in WORDS.findall(named))
+                if self.words & CUT_WORDS:
+                    self.sort_names(found.get("class", "").split(), found.get("id", ""))
             self.role = found.get("role", "").lower()
             self.hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
 
-    def is_cut(self) -> bool:
+    def sort_names(self, classes: list[str], slug: str) -> None:
+        """The cut words of names that have no other words (``whole``) and of other names (``part``)."""
+        whole, part = set(), set()
+        for name in classes:
+            words = {w.lower() for w in WORDS.findall(name)}
+            (whole if words <= CUT_WORDS else part).update(words & CUT_WORDS)
+            self.good = self.good or bool(words) and words <= GOOD_WORDS
+        words = {w.lower() for w in WORDS.findall(slug)}
+        if words <= CUT_WORDS and self.tag not in HEADINGS:
+            whole |= words - {"discussion"} if self.tag in SECTIONS else words
+        elif self.tag not in SECTIONS:
+            part |= words & CUT_WORDS
+        self.whole, self.part = frozenset(whole), frozenset(part)
+
+    def is_never(self) -> bool:
+        """Whether no text of the subtree can be the page's, whatever its amount."""
         if self.tag in CUT_TAGS or self.hidden or self.role in CUT_ROLES:
+            return not (self.holds and self.tag in ("nav", "aside", "footer", "menu") and not self.hidden)
+        if self.tag in ("html", "body", "main"):
+            return False
+        if self.whole & COMMENT_WORDS:
+            return True
+        return bool(self.part & COMMENT_WORDS) and not self.good and not (self.part & COMMENT_WORDS == {"discussion"})
+
+    def is_cut(self, total: int) -> bool:
+        """Whether the subtree is cut from a page with ``total`` characters of prose."""
+        if self.is_never():
             return True
+        most = 2 * self.prose > total
+        if self.tag in CUT_TAGS:  # holds an article, as where its end tag is missing
+            return not most
+        if (self.tag in WRAPPERS or self.role in WRAPPERS) and not most:
+            held = self.tag != "dialog" and self.role != "dialog" and (self.holds or self.prose >= FORM_CHARS)
+            if not held:
+                return True
+        if self.tag in ("label", "legend"):  # fields' names
+            return any(n.tag == "form" for n in ancestors(self))
         if self.tag == "header":  # a page's, not an article's own heading
             return not any(n.tag in ("article", "main") for n in ancestors(self))
-        hit = self.words & CUT_WORDS
-        if not hit or self.tag in ("html", "body", "main"):
+        if not (self.whole or self.part) or self.tag in ("html", "body", "main"):
+            return False
+        if most and (self.good or not self.whole):
             return False
         if self.tag == "article":
             return not self.words & GOOD_WORDS
-        return bool(hit & COMMENT_WORDS) or not self.holds  # a layout named after its sidebar holds the article too
+        if self.part & COMMENT_WORDS - {"discussion"}:
+            return True
+        if not self.whole and any(n.tag in ("article", "main") for n in ancestors(self)):
+            return 2 * self.prose <= self.text
+        return not self.holds  # a layout named after its sidebar holds the article too
 
 
 def ancestors(node: Node):
@@ -114,7 +164,7 @@ def build(page: str) -> Node:
         tag = m[2].lower()
         if m[1]:
             node = now
-            while node.parent is not None and node.tag != tag and not (node.tag in BLOCKS and tag not in BLOCKS):
+            while node.parent is not None and node.tag != tag and not (node.tag in BLOCKS and tag not in BLOCKS and tag != "select"):  # options need no end tag
                 node = node.parent
             if node.tag == tag:
                 now = node.parent
@@ -136,7 +186,7 @@ def build(page: str) -> Node:
                 now = node.parent
         node = Node(tag, m[3], now)
         now.children.append(node)
-        if tag in ("article", "main") and not node.words & CUT_WORDS:
+        if tag in ("article", "main") and not (node.whole or node.part):
             for holder in ancestors(node):
                 if holder.holds:
                     break
@@ -158,13 +208,39 @@ def plain(text: str) -> str:
     return entities.unescape(text) if "&" in text else text
 
 
+def weigh(root: Node) -> None:
+    """Count each subtree's text and prose: the texts of blocks with some length and few links."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        node.prose = node.text = node.run = node.run_linked = 0
+        todo += [c for c in node.children if isinstance(c, Node) and not c.is_never()]
+    for node in reversed(order):
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        node.run += own
+        node.text += own
+        if node.tag == "a":
+            node.run_linked = node.run
+        ends = node.tag in BLOCKS or node.parent is None
+        if ends and node.run >= PROSE_CHARS and node.run_linked < 0.25 * node.run:
+            node.prose += node.run
+        if node.parent is not None:
+            up = node.parent
+            up.prose, up.text = up.prose + node.prose, up.text + node.text
+            if not ends:
+                up.run, up.run_linked = up.run + node.run, up.run_linked + node.run_linked
+
+
 def measure(root: Node) -> list[Node]:
     """Cut subtrees, decode text and count characters, linked characters and commas; nodes from the leaves up."""
+    weigh(root)
+    total = root.prose
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        node.children = [c if isinstance(c, Node) else plain(c) for c in node.children if isinstance(c, str) or not c.is_cut()]
+        node.children = [c if isinstance(c, Node) else plain(c) for c in node.children if isinstance(c, str) or not c.is_cut(total)]
         todo += [c for c in node.children if isinstance(c, Node)]
     order.reverse()
     for node in order:

@@ -265,6 +265,24 @@ def test_html_names_and_quotes():
     assert html_text.main_text(f"<article><a title='a > b'></a>{body}<!-- no --!></article>") == prose
 
 
+def test_html_weak_names():
+    """Wrappers, ids made from headings and parts of class names do not cut an article's text."""
+    prose = [f"Paragraph {x}, with a few commas, and enough words that it counts as a piece of prose." for x in ("one", "two", "three")]
+    paragraphs = "".join(f"<p>{x}</p>" for x in prose)
+    want = "\n".join(prose)
+    text = html_text.main_text
+    for body in (paragraphs, f"<article>{paragraphs}</article>"):
+        assert text(f"<body><form action=/x><input name=q><label>Name</label><select><option>a</select>{body}<button>Send</button></form></body>") == want
+        assert text(f"<body><div class='post has-sidebar'>{body}</div><div class=sidebar><p>{prose[0]}</p></div></body>") == want
+    first, second, third = (f"<p>{x}</p>" for x in prose)
+    for name in ("discussion", "related-work", "sharing-data", "legal-history"):
+        assert text(f"<article>{first}<h2 id={name}>Heading</h2>{second}</article>") == f"{prose[0]}\nHeading\n{prose[1]}"
+        assert text(f"<article>{first}<section id={name}>{second}{third}</section></article>") == want
+    assert text(f"<article>{first}<p id=notice-of-appeal>{prose[1]}</p><p class=legal-quote>{prose[2]}</p></article>") == want
+    assert text(f"<article>{paragraphs}</article><form><p>Your name, mail and what you want to say to us here, please.</p></form>") == want
+    assert text(f"<article>{paragraphs}<ul class=related-posts><li><a href=/>Other, and more</a></ul><section id=comments>{first}{second}</section></article>") == want
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     for f in (lambda d: bpe.round_trip(d, vocabulary()), lambda d: token_files.round_trip(d, vocabulary()), order_minhash.fingerprint_edits, lambda d: packing.pack_documents(d, vocabulary()), simhash.near_duplicates, secret_scan.scan):
