@@ -478,10 +478,11 @@ def _(s, d):
 
 @query("fft2_round_trip", W + "select i0, i1, round(v, 5) + 0.0 as v from e where i0 < 32")
 def _(s, d):
-    a = indexing.take(matrix(s, d), slice(0, 32), slice(None))
+    """The whole matrix there and back; only the result is cut to the rows that the SQL gives."""
+    a = matrix(s, d)
     there = fourier.transform(fourier.complex_cells(a), a.shape)
     back = fourier.transform(there, a.shape, inverse=True)
-    return back.select("i0", "i1", (F.round("re", 5) + 0.0).alias("v"))
+    return back.filter("i0 < 32").select("i0", "i1", (F.round("re", 5) + 0.0).alias("v"))
 
 
 @query("tbl_map", "select l_orderkey, l_linenumber, round(l_quantity + l_extendedprice + l_discount + l_tax, 4) as s from lineitem")

@@ -84,6 +84,28 @@ def test_fft(spark):
     assert np.allclose(got.re.to_numpy() + 1j * got.im.to_numpy(), np.fft.fft2(x).ravel())
 
 
+def test_fft2_takes_the_whole_matrix(spark, monkeypatch):
+    import duckdb
+
+    from gridloom.queries import QUERIES
+
+    sf, seen, transform = "/root/testdata/sf0.001", [], fourier.transform
+
+    def spy(df, shape, **kw):
+        if not kw:
+            seen.append((shape, df.count()))
+        return transform(df, shape, **kw)
+
+    monkeypatch.setattr(fourier, "transform", spy)
+    got = QUERIES["fft2_round_trip"].run(spark, sf).toPandas().sort_values(["i0", "i1"]).reset_index(drop=True)
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert n > 32 and seen == [((n, 64), n * 64)]
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{sf}/embeddings.parquet')")
+    want = con.execute(QUERIES["fft2_round_trip"].sql).df().sort_values(["i0", "i1"]).reset_index(drop=True)
+    assert len(got) == len(want) and np.allclose(got.v, want.v, atol=2e-5)
+
+
 def test_domains():
     a, b = Domain(((11, 26), (21, 101))), Domain(((10, 20), (30, 40)))
     assert a.intersect(b).ranges == ((11, 20), (30, 40)) and a.align_first().ranges == ((0, 15), (0, 80))
