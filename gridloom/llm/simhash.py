@@ -1,19 +1,24 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut in two segments of 32 bits.  The table's keys are the
-values in the Hamming ball of radius 1 around each segment, each taken together
-with the other segment's exact value.  Two fingerprints within 2 bits always
-meet under a key (their own values, or a value one bit from each), and any two
-that meet are within 2 bits; so a key holds at most 65 different fingerprints,
-whatever the data's skew, and links to the key's least fingerprint join exactly
-what should be joined.  A table keyed by a segment alone would put a large
-group of near copies under one key, with all its pairs.  Complete distances are
-verified before a link counts.
+A fingerprint is cut in two segments of 32 bits, and each segment has a table
+that is keyed by its value.  A fingerprint probes the tables with the small
+Hamming ball around each of its segments, fetches what stands under those
+values, and complete distances decide.  Two fingerprints within r bits differ in
+at most r // 2 bits of the first segment or fewer of the second, so none is lost.
+
+A large group of near copies can put very many fingerprints under one segment
+value.  Such a hot key is not paired: its fingerprints are indexed again by the
+halves of their other segment, with the bits that may still differ, and so on;
+below the third level only 8 bits are free, which bounds a key by 256
+fingerprints whatever the data's skew.  Nothing is capped: each level is exact.
 
 Defined cases: a null text or one without words has fingerprint zero and is
-linked like any other; copies share a fingerprint and are never paired; a null
-id belongs to its fingerprint's component and never names it; repeated rows
-stay; an empty table gives an empty result.  Only the id and text are read.
+linked like any other; a very long text takes memory in proportion to its
+length, and its shingles are summed up in blocks; copies share a fingerprint and
+are never paired; at a tie of bits (set in exactly half the shingles) the bit is
+0; a null id belongs to its fingerprint's component and never names it; repeated
+rows stay; an empty table gives an empty result.  Only the id and text are read,
+so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from gridloom.llm.components import components
 from gridloom.plans.durable import materialize
 
 SEED = 42
+#: Fingerprints under a key beyond which it is indexed again.
+BUCKET = 64
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -51,37 +58,62 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and ``fp bigint`` of every row."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """The id and ``fp bigint`` of every row, over shingles of ``width`` words."""
     id_type = df.schema[id_col].dataType.simpleString()
-    return map_rows(df.select(id_col, text_col), lambda key, text: [(key, fingerprint(text))], f"`{id_col}` {id_type}, fp bigint")
+    return map_rows(df.select(id_col, text_col), lambda key, text: [(key, fingerprint(text, width))], f"`{id_col}` {id_type}, fp bigint")
 
 
-def _ball(fp: Column) -> Column:
-    """A fingerprint's table keys: radius 1 in each segment, the other segment exact."""
-    flip = lambda i: fp.bitwiseXOR(F.shiftleft(F.lit(1).cast("bigint"), i))
-    low, high = [[flip(i) for i in range(at, at + 32)] for at in (0, 32)]
-    return F.array(fp, *low, *high)
+def _segments(prints: DataFrame, width: int, probe: bool) -> DataFrame:
+    """``key, fp, at, left``: a row for each of the two segments of ``width`` bits from bit ``at``.
 
-
-def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
-    """``a, b``: links between different fingerprints of column fp at most ``max_bits`` (0, 1 or 2) apart.
-
-    Not every pair, but enough to connect what pairs would connect: each
-    fingerprint under a key is linked to the key's least.
+    ``prints`` has the key so far, the fingerprint, the place of the bits that no
+    segment has used yet and the bits that may still differ.  The table's rows
+    hold a segment's own value; a probe's rows the values of its ball.  With b
+    bits left one segment differs in b // 2 at most, or the other in fewer:
+    the first one's ball has radius b // 2, the second one's (b - 1) // 2.
     """
-    if max_bits not in (0, 1, 2):
-        raise ValueError("balls of radius 1 find at most 2 differing bits")
-    keyed = distinct.select("fp", F.explode(_ball(F.col("fp"))).alias("key"))
-    if max_bits == 1:
-        keyed = keyed.join(distinct.select(F.col("fp").alias("key")), "key", "left_semi")
-    met = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).filter(F.size("all") > 1)
-    return met.select("a", F.explode("all").alias("b")).filter(F.col("a") != F.col("b")).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
+    value = lambda h: F.expr(f"shiftrightunsigned(fp, at + {h * width}) & {(1 << width) - 1}L")
+    # The place of the bits left over: above the first segment, below the second.
+    row = lambda h, v, d: F.struct(F.lit(h).alias("h"), v.alias("v"), (F.col("at") + (width if h == 0 else 0)).alias("at"), (F.col("left") - d).alias("left"))
+    parts = []
+    for h in (0, 1):
+        own = F.array(row(h, value(h), 0))
+        if not probe:
+            parts.append(own)
+            continue
+        ball = F.concat(own, F.array(*[row(h, value(h).bitwiseXOR(F.lit(1 << i).cast("bigint")), 1) for i in range(width)]))
+        parts.append(F.when(F.col("left") >= 2 + h, ball).when(F.col("left") >= h, own).otherwise(F.slice(own, 1, 0)))
+    cut = prints.select("key", "fp", F.explode(F.concat(*parts)).alias("s"))
+    return cut.select(F.xxhash64("key", "s.h", "s.v").alias("key"), "fp", F.col("s.at").alias("at"), F.col("s.left").alias("left"))
+
+
+def links(distinct: DataFrame, max_bits: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """``a, b`` with a < b: all links between different fingerprints of column fp at most ``max_bits`` (0 to 3) apart."""
+    if max_bits not in range(4):
+        raise ValueError("balls of radius 1 in each segment find at most 3 differing bits")
+    if not max_bits:
+        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    start = distinct.select(F.lit(0).cast("bigint").alias("key"), "fp", F.lit(0).alias("at"), F.lit(max_bits).alias("left"))
+    table, probes, found = start, start, None
+    for width in (32, 16, 8):
+        table, probes = _segments(table, width, False), _segments(probes, width, True)
+        # Below the last segments only 8 bits are free: a key holds at most 256 fingerprints.
+        hot = materialize(table.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("key"), "hot") if width > 8 else None
+        more = hot is not None and not hot.isEmpty()
+        fetched = (table.join(hot, "key", "left_anti") if more else table).select("key", F.col("fp").alias("b"))
+        near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+        met = probes.select("key", F.col("fp").alias("a")).join(fetched, "key").filter(near).select("a", "b")
+        found = met if found is None else found.union(met)
+        if not more:
+            break
+        table, probes = table.join(hot, "key", "left_semi"), probes.join(hot, "key", "left_semi")
+    return found.distinct()
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, width: int = 3) -> DataFrame:
     """The id, ``fp`` and ``component_id`` of every row; the component's id is the smallest id in it."""
-    prints = materialize(fingerprints(df, id_col, text_col), "fingerprints")
+    prints = materialize(fingerprints(df, id_col, text_col, width), "fingerprints")
     least = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     found = components(links(least.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root") if max_bits else None
     if found is not None:
@@ -93,13 +125,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(least, "fp").select(id_col, "fp", "component_id")
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, width: int = 3) -> DataFrame:
     """The rows of ``df`` that stay: of each component the row whose id names it.
 
     Rows without an id stay only if no row of their component has one, and of
     rows that repeat the same id all stay, as an id can't tell them apart.
     """
-    kept = near_duplicates(df, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
+    kept = near_duplicates(df, id_col, text_col, max_bits, width).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
     return df.join(kept, df[id_col].eqNullSafe(kept["_kept"]), "left_semi")
 
 

@@ -299,3 +299,21 @@ def test_pipeline(spark, tmp_path):
     passed = [(r.doc_id, plain_fingerprint(r.cleaned)) for r in quality_rules.assess(docs).filter("kept").collect()]
     assert kept == {i for i, _, c in plain_components(passed) if i == c}
     assert got.groupby("sequence_id").length.sum().max() <= 4096
+
+
+@pytest.mark.parametrize(("bits", "bucket"), [(0, 1), (2, 1), (3, 2), (3, 64)])
+def test_links(spark, bits, bucket):
+    """Every link and no other, also where keys are hot down to the last level."""
+    rng = np.random.default_rng(bits)
+    prints = {int(x) for x in rng.integers(-(2**62), 2**62, 20)} | {0, -1}
+    centre = int(rng.integers(-(2**62), 2**62))
+    for _ in range(150):  # a dense group over few bits of each half
+        x = centre
+        for b in rng.choice([0, 1, 2, 31, 32, 33, 40, 63], rng.integers(0, 6), replace=False).tolist():
+            x ^= -(2**63) if b == 63 else 1 << b
+        prints.add(x)
+    df = spark.createDataFrame([(p,) for p in prints], "fp bigint")
+    got = sorted(map(tuple, simhash.links(df, bits, bucket).collect()))
+    assert got == sorted((a, b) for a, b in combinations(sorted(prints), 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= bits and bits)
+    with pytest.raises(ValueError):
+        simhash.links(df, 4)
