@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, html_text, order_minhash, packing, secret_scan, simhash, token_files, warc
 from gridloom.llm.queries import queries, vocabulary
@@ -317,3 +318,31 @@ def test_links(spark, bits, bucket):
     assert got == sorted((a, b) for a, b in combinations(sorted(prints), 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= bits and bits)
     with pytest.raises(ValueError):
         simhash.links(df, 4)
+
+
+def test_external_merge(spark):
+    """More runs than one merge reads, ranges of a few captures, one URL with most of them, equal times and null ids."""
+    rng = np.random.default_rng(8)
+    rows = [(int(x) if x % 11 else None, f"http://h.org:{8080 if x % 7 == 0 else 80}/{'' if x % 3 else x % 5}", f"<p>{x % 400}</p>" + rng.bytes(600).hex()) for x in rng.integers(0, 4000, 3000)]
+    rows += [(10**15, "http://h.org/", "late"), (10**15 + 1, "http://h.org/", "later"), (-(10**15), "http://h.org/", "early")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(8)
+    got = warc.round_trip(df, fan_in=2, range_rows=64, archive_bytes=60_000)
+    parts = got.rdd.glom().collect()
+    found = [tuple(r) for p in parts for r in p]
+    assert len(parts) > 10 and len({r[7] for r in found}) > 8
+    assert [warc.capture_order(r) for r in found] == sorted(warc.capture_order(r) for r in found)
+    assert sorted((r[2] is None, r[2] or 0, r[0]) for r in found) == sorted((i is None, i or 0, warc.url_key(u)) for i, u, _ in rows)
+
+
+def test_url_keys():
+    keys = {u: warc.url_key(u) for u in ("http://www.A.org/X?y=Z", "https://a.org:443/", "https://a.org:8443/", "a.org/b", "http://[bad", None)}
+    assert list(keys.values()) == ["org,a)/X?y=Z", "org,a)/", "org,a:8443)/", "org,a)/b", "http://[bad", ""]
+    assert [warc.timestamp(x) for x in (None, 1, 10**30, -(10**30))] == ["20240101000000", "20240101000001", "99991231235959", "00010101000000"]
+
+
+def test_hot_payloads(spark):
+    """A payload that most pages share meets its response without a shuffle of its rows under one key."""
+    df = spark.range(6000).selectExpr("id as page_id", "concat('http://h.org/', id) as url", "if(id % 3 > 0, '', if(id % 9 = 0, 'twice', cast(id as string))) as html")
+    got = warc.originals(df.withColumn("_url", F.col("url")), "page_id", "html")
+    want = [(i, 1 if i % 3 and i > 1 else 0 if i % 9 == 0 and i else None) for i in range(6000)]
+    assert sorted(map(tuple, got.select("page_id", "original").collect())) == want
