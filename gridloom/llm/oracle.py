@@ -75,9 +75,9 @@ select doc_id, {counts}, sha256(coalesce(base, '')) as base_sha256, coalesce(spa
 
 
 def license_sql() -> str:
-    """Rules meet the texts that hold their words; a hit within another of its priority or a higher one goes."""
+    """Rules meet the texts that hold what every match of them holds; a hit within another of its priority or a higher one goes."""
     ls = license_scan
-    rules = ", ".join(f"({s.order}, {s.priority}, {s.confidence}::double, {quoted(s.label)}, {quoted(ls.keyword_text(s.keyword))}, {quoted(ls.keyword_text(s.form))}, {quoted(s.regex)})" for s in ls.signatures())
+    rules = ", ".join(f"({s.order}, {s.priority}, {s.confidence}::double, {quoted(s.label)}, {quoted(s.spdx)}, {quoted(s.form)}, {quoted(s.name)}, {quoted(s.regex)})" for s in ls.signatures())
     spaces = lambda x: f"((length({x}) - length(replace({x}, ' ', ''))) // 2)"
     base = " union all ".join(
         f"select doc_id, '{label}' as label, len(b) - 1 as n, {spaces('b[1]')} as first_word, n_words - {spaces('b[-1]')} - {len(p.split())} as last_word from (select *, string_split(t, {quoted(ls.keyword_text(p))}) as b from n) where len(b) > 1"
@@ -86,18 +86,18 @@ def license_sql() -> str:
     return f"""
 with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ls.UPPER}', '{ls.LOWER}'), {quoted('[^' + ls.NOT_WORD[1:])}) as w from documents),
 n as (select doc_id, len(w)::bigint as n_words, case when len(w) = 0 then '' else ' ' || array_to_string(w, '  ') || ' ' end as t from w),
-r(o, priority, confidence, label, keyword, form, re) as (values {rules}),
-j as (select doc_id, t, o, re from n join r on contains(t, form) and contains(t, keyword)),
+r(o, priority, confidence, label, spdx, form, name, re) as (values {rules}),
+j as (select doc_id, t, o, re from n join r on contains(t, form) and contains(t, name)),
 m as ({places('j', 'doc_id, o', 're')}),
-h0 as (select doc_id, o, priority, confidence, label, {spaces('left(t, s::int)')} as s, {spaces('left(t, (s + length(m))::int)')} as e from m join r using (o) join n using (doc_id)),
+h0 as (select doc_id, o, priority, confidence, label, spdx, {spaces('left(t, s::int)')} as s, {spaces('left(t, (s + length(m))::int)')} as e from m join r using (o) join n using (doc_id)),
 h as (select * from h0 a where not exists (select 1 from h0 b where b.doc_id = a.doc_id and b.s <= a.s and b.e >= a.e and b.o <> a.o
   and ((b.s = a.s and b.e = a.e and b.o < a.o) or (b.e - b.s > a.e - a.s and b.priority <= a.priority)))),
 b as ({base}),
 bs as (select doc_id, sum(n) as n_base, min(first_word) as first_word, max(last_word) as last_word, string_agg(distinct label, ',' order by label) as base_labels from b group by 1),
 ls as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from b union all select doc_id, label from h) group by 1),
-sc as (select doc_id, max(confidence) as score from h group by 1)
+sc as (select doc_id, max(confidence) as score, string_agg(distinct spdx, ',' order by spdx) filter (spdx <> '') as identifiers from h group by 1)
 select doc_id, n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
-  coalesce(score, case when n_base > 0 then 0.5 else 0.0 end)::double as score from n left join bs using (doc_id) left join ls using (doc_id) left join sc using (doc_id)"""
+  coalesce(score, case when n_base > 0 then 0.5 else 0.0 end)::double as score, coalesce(identifiers, '') as identifiers from n left join bs using (doc_id) left join ls using (doc_id) left join sc using (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -131,3 +131,39 @@ def test_license_gates():
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert quality_rules.assess(none).count() == license_scan.scan(none).count() == 0
+
+
+def test_licenses_in_long_texts(spark):
+    """Many detections in one text take seconds: the cost is nearly linear."""
+    import time
+
+    n = 16_000
+    texts = ["mit license " * n, "licensed under the mit license " * n, " ".join(["released under the apache license gpl"] * n)]
+    began = time.time()
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert time.time() - began < 60
+    assert (got[0].n_base, got[0].first_word, got[0].last_word, len(got[0].detections)) == (n, 0, 2 * n - 2, n)
+    assert got[1].n_base == n and len(got[1].detections) == n and got[1].score == 0.95
+    assert got[2].labels == "apache,gpl" and len(got[2].detections) == 2 * n
+
+
+def test_license_identifiers(spark):
+    """Versions, "or later", exceptions, SPDX expressions and license texts' own sentences."""
+    texts = {
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": ("apache,mit", ""),
+        "SPDX-License-Identifier: GPL-2.0-or-later": ("gpl", "GPL-2.0-or-later"),
+        "SPDX-License-Identifier: BSD-3-Clause AND CC0-1.0": ("bsd,cc0", ""),
+        "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": ("", ""),
+        "the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version": ("gpl", "GPL-2.0-or-later"),
+        "under the GPL v2 with the Classpath Exception": ("gpl", "GPL-2.0-only WITH Classpath-exception-2.0"),
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software')": ("mit", "MIT"),
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": ("bsd", "BSD-2-Clause"),
+        "Neither the name of the Foo Institute nor the names of its contributors may be used to endorse or promote products derived from this software": ("bsd", "BSD-3-Clause"),
+        "https://creativecommons.org/licenses/by-sa/4.0/": ("cc-by-sa", "CC-BY-SA-4.0"),
+        "This is free and unencumbered software released into the public domain.": ("unlicense", "Unlicense"),
+    }
+    got = {r.doc_id: r for r in license_scan.scan(rows_of(spark, [*list(texts)[:2], None, *list(texts)[2:]])).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        r = got[i if i < 2 else i + 1]
+        assert (r.labels, r.identifiers) == want, text
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == plain_licenses(text), text
