@@ -7,11 +7,19 @@ way to the page's prose, and ids made from headings don't count.
 Each paragraph earns points for its length and commas; its container gets them
 all and the containers above get shares; a container's points are discounted by
 the share of its text that stands in links.  The container with most points is
-kept, with siblings that score well or are plain prose.
-
-Defined cases: a null or empty html has the empty text; broken markup ends where
-HTML would end it; repeated rows are extracted one by one; an empty table gives
-an empty result.  Only the id, url and html columns are read.
+kept, with siblings that score well or are plain prose; within an article's own
+wrapper also short blocks and headings, and the heading above it.
+
+The tree is built in time linear in the page: each element knows the paragraph,
+item and block that it stands in, so no start or end tag walks the open elements
+in vain.
+
+Defined cases: a null or empty html has the empty text; a very long or deeply
+nested page takes linear time and no recursion; broken markup ends where HTML
+would end it; of containers with equal points the inner and earlier one is kept;
+a null id or url stays null; repeated rows are extracted one by one; an empty table gives
+an empty result.  Only the id, url and html columns are read, so other columns
+can't clash.
 """
 
 from __future__ import annotations
@@ -61,8 +69,16 @@ CUT_WORDS = frozenset(
 )
 #: Of these, the words of reader comments, which may be marked up as articles of their own.
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+#: Words that say nothing of a paragraph, list or section within an article.
+SOFT_WORDS = frozenset("legal related discussion side social copyright disclaimer recommended recommendations".split())
+#: Elements between which pages, not articles, are divided.
+FRAME_TAGS = frozenset("nav header footer aside menu".split())
+FRAME_WORDS = frozenset("nav navbar navigation menu menubar sidebar rail aside footer masthead topbar".split())
 GOOD_WORDS = frozenset("article body content entry main post story text prose".split())
 SCORED = frozenset("p pre td blockquote li dd h2 h3 h4 h5 h6".split())
+#: Elements that a start tag of ``CLOSES`` looks for, and those in which an open paragraph is out of reach.
+ITEMS = frozenset().union(*[shut | stop for shut, stop in CLOSES.values()])
+KEEPS_P = frozenset("table td th button article section div li body blockquote".split())
 TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -72,10 +88,17 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element; ``children`` holds elements and strings."""
 
-    __slots__ = ("tag", "words", "whole", "part", "good", "role", "hidden", "parent", "children", "holds", "score", "size", "linked", "commas", "prose", "text", "run", "run_linked")
+    __slots__ = ("tag", "words", "whole", "part", "good", "role", "hidden", "parent", "children", "holds", "score", "size", "linked", "commas", "prose", "text", "run", "run_linked", "p", "item", "block", "open", "in_article", "in_form", "framed")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
-        self.tag, self.parent, self.children, self.holds, self.score = tag, parent, [], False, 0.0
+        self.tag, self.parent, self.children, self.holds, self.score, self.framed = tag, parent, [], False, 0.0, False
+        # The open paragraph and the nearest item or list in reach, the nearest block, and a block's open inline elements by tag.
+        self.p = self if tag == "p" else None if parent is None or tag in KEEPS_P else parent.p
+        self.item = self if tag in ITEMS or parent is None else parent.item
+        ends = tag in BLOCKS or tag == "select" or parent is None
+        self.block, self.open = (self, {}) if ends else (parent.block, None)
+        self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
+        self.in_form = parent is not None and (parent.in_form or parent.tag == "form")
         self.words, self.whole, self.part, self.good, self.role, self.hidden = frozenset(), frozenset(), frozenset(), False, "", False
         if attributes and not attributes.isspace():
             found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
@@ -98,6 +121,8 @@ class Node:
             whole |= words - {"discussion"} if self.tag in SECTIONS else words
         elif self.tag not in SECTIONS:
             part |= words & CUT_WORDS
+        if self.tag in SECTIONS and self.in_article:
+            whole, part = whole - SOFT_WORDS, part - SOFT_WORDS
         self.whole, self.part = frozenset(whole), frozenset(part)
 
     def is_never(self) -> bool:
@@ -122,9 +147,9 @@ class Node:
             if not held:
                 return True
         if self.tag in ("label", "legend"):  # fields' names
-            return any(n.tag == "form" for n in ancestors(self))
+            return self.in_form
         if self.tag == "header":  # a page's, not an article's own heading
-            return not any(n.tag in ("article", "main") for n in ancestors(self))
+            return not self.in_article
         if not (self.whole or self.part) or self.tag in ("html", "body", "main"):
             return False
         if most and (self.good or not self.whole):
@@ -133,7 +158,7 @@ class Node:
             return not self.words & GOOD_WORDS
         if self.part & COMMENT_WORDS - {"discussion"}:
             return True
-        if not self.whole and any(n.tag in ("article", "main") for n in ancestors(self)):
+        if not self.whole and self.in_article:
             return 2 * self.prose <= self.text
         return not self.holds  # a layout named after its sidebar holds the article too
 
@@ -147,6 +172,21 @@ def build(page: str) -> Node:
     """The tree of a page."""
     root = now = Node("#root", "", None)
     at, size = 0, len(page)
+    blocks: dict[str, int] = {}  # open blocks by tag
+
+    def enter(node: Node) -> Node:
+        held = blocks if node.open is not None else node.block.open
+        held[node.tag] = held.get(node.tag, 0) + 1
+        return node
+
+    def leave(node: Node, last: Node) -> Node:
+        """What is open once ``last`` and all in it are closed."""
+        while True:
+            (blocks if node.open is not None else node.block.open)[node.tag] -= 1
+            if node is last:
+                return node.parent
+            node = node.parent
+
     while at < size:
         m = TOKEN.search(page, at)
         if not m:
@@ -163,27 +203,24 @@ def build(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = now
-            while node.parent is not None and node.tag != tag and not (node.tag in BLOCKS and tag not in BLOCKS and tag != "select"):  # options need no end tag
-                node = node.parent
-            if node.tag == tag:
-                now = node.parent
+            ends = tag in BLOCKS or tag == "select"
+            if (blocks if ends else now.block.open).get(tag):
+                node = now
+                while node.tag != tag:
+                    node = node.parent
+                now = leave(now, node)
             elif tag == "br":
                 now.children.append(Node("br", "", now))
             continue
-        if tag in CLOSES_P:
-            node = now
-            while node.parent is not None and node.tag not in ("p", "table", "td", "th", "button", "article", "section", "div", "li", "body", "blockquote"):
-                node = node.parent
-            if node.tag == "p":
-                now = node.parent
+        if tag in CLOSES_P and now.p is not None:
+            now = leave(now, now.p)
         if tag in CLOSES:
             shut, stop = CLOSES[tag]
-            node = now
+            node = now.item
             while node.parent is not None and node.tag not in shut and node.tag not in stop:
-                node = node.parent
+                node = node.parent.item
             if node.tag in shut:
-                now = node.parent
+                now = leave(now, node)
         node = Node(tag, m[3], now)
         now.children.append(node)
         if tag in ("article", "main") and not (node.whole or node.part):
@@ -200,7 +237,7 @@ def build(page: str) -> Node:
             close = page.find(">", stop)
             at = size if end is None or close < 0 else close + 1
             continue
-        now = node
+        now = enter(node)
     return root
 
 
@@ -240,7 +277,15 @@ def measure(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         order.append(node)
-        node.children = [c if isinstance(c, Node) else plain(c) for c in node.children if isinstance(c, str) or not c.is_cut(total)]
+        left = []
+        for c in node.children:
+            if isinstance(c, str):
+                left.append(plain(c))
+            elif not c.is_cut(total):
+                left.append(c)
+            elif c.tag in FRAME_TAGS or c.words & FRAME_WORDS:
+                node.framed = True
+        node.children = left
         todo += [c for c in node.children if isinstance(c, Node)]
     order.reverse()
     for node in order:
@@ -287,16 +332,36 @@ def main_nodes(root: Node) -> list[Node]:
     if best.parent is None or best.tag in ("body", "html", "#root"):
         return [best]
     least = max(10.0, best.score * 0.2)
-    kept = []
-    for c in best.parent.children:
+    holder, kept = best.parent, []
+    # A wrapper of the article alone, not of the page's parts, keeps its short blocks too.
+    own = holder.tag not in ("body", "html", "#root") and not holder.framed
+    for c in holder.children:
         if not isinstance(c, Node) or not c.size:
             continue
-        prose = c.tag in ("p", "blockquote", "pre") and c.size > 80 and link_density(c) < 0.25
-        if c is best or c.score >= least or prose or (c.tag == best.tag == "article"):
+        few_links = link_density(c) < 0.25
+        prose = c.tag in ("p", "blockquote", "pre") and c.size > 80 and few_links
+        short = few_links and (own or c.tag in HEADINGS)
+        if c is best or c.score >= least or prose or short or (c.tag == best.tag == "article"):
             kept.append(c)
+    if not any(n.tag == "h1" for top in kept for n in elements(top)):  # the title, where it stands above the container's own wrapper
+        inner = holder
+        while inner.parent is not None and inner.parent.tag not in ("html", "#root"):
+            above = [c for c in inner.parent.children if isinstance(c, Node)]
+            titles = [c for c in above[: above.index(inner)] if c.tag == "h1" and c.size and link_density(c) < 0.25]
+            if titles:
+                return [titles[-1], *kept]
+            inner = inner.parent
     return kept
 
 
+def elements(top: Node):
+    todo = [top]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += [c for c in node.children if isinstance(c, Node)]
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     """The texts of the blocks, each with single spaces."""
     out: list[str] = []

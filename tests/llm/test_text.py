@@ -346,3 +346,76 @@ def test_hot_payloads(spark):
     got = warc.originals(df.withColumn("_url", F.col("url")), "page_id", "html")
     want = [(i, 1 if i % 3 and i > 1 else 0 if i % 9 == 0 and i else None) for i in range(6000)]
     assert sorted(map(tuple, got.select("page_id", "original").collect())) == want
+
+
+def plain_article(page):
+    """The text of a page's article by the standard library's parser: blocks end at p, h1 and br is a space."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        depth, out = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.depth += 1
+            if self.depth and tag in ("p", "h1", "ul", "li"):
+                self.out = [*self.out, ""]
+            if self.depth and tag == "br":
+                self.out[-1] += " "
+
+        def handle_endtag(self, tag):
+            if tag == "article":
+                self.depth -= 1
+            if self.depth and tag in ("p", "h1", "ul", "li"):
+                self.out = [*self.out, ""]
+
+        def handle_data(self, data):
+            if self.depth:
+                self.out[-1] += data
+
+    r = Reader()
+    r.out = [""]
+    r.feed(page or "")
+    return "\n".join(x for x in (re.sub(r"\s+", " ", x).strip() for x in r.out) if x)
+
+
+def test_html_pages(spark):
+    """Every page of the table against the parser of the standard library; these pages mark their article."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        want = plain_article(r.html)
+        assert got[r.page_id] == (want, len(want))
+
+
+def test_html_keeps_what_stands_beside():
+    prose = [f"Paragraph {x}, with a few commas, and enough words that it counts as a piece of prose." for x in ("one", "two", "three")]
+    body, want = "".join(f"<p>{x}</p>" for x in prose), "\n".join(prose)
+    text = html_text.main_text
+    assert text(f"<body><div id=wrap><h1>Title here</h1><div class=body>{body}</div></div></body>") == f"Title here\n{want}"
+    assert text(f"<body><h1>Title here</h1><div id=wrap><div class=body>{body}</div><div class=x><a href=/>Elsewhere, and more</a></div></div></body>") == f"Title here\n{want}"
+    assert text(f"<body><div id=w><div>{body}</div><div>Short last.</div><p>Short p.</p></div></body>") == f"{want}\nShort last.\nShort p."
+    assert text(f"<article>{body}<p class=legal>Legal things matter.</p><p class=related>So do others.</p></article>") == f"{want}\nLegal things matter.\nSo do others."
+    assert text(f"<article>{body}<section id=discussion><h2>Discussion</h2>{body}</section></article>") == f"{want}\nDiscussion\n{want}"
+    assert text(f"<body><div id=page><nav><a href=/>Home</a></nav><div>Some site</div><div>{body}</div><div>Small print</div></div></body>") == want
+
+
+def test_html_takes_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<span>" * 100_000 + "<hr>" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<div class='comment x'>" * 60_000 + "text", "<p><button>" + "<i>" * 100_000 + "<hr>" * 100_000, "<ul><li>" * 60_000 + "</ol>" * 60_000):
+        html_text.main_text(page)
+    assert time.time() - began < 60
+
+
+def test_html_defined_cases(spark):
+    """Columns that clash with results, repeated rows, null ids and an empty table."""
+    rows = [(1, "u", PAGE, "x", 9), (1, "u", PAGE, "x", 9), (None, None, "<p>a</p>", None, 1), (2, "v", None, "y", 2)]
+    schema = "page_id bigint, url string, html string, text string, n_chars int"
+    got = html_text.extract(spark.createDataFrame(rows, schema))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r.page_id or 0, r.n_chars) for r in got.collect())[:2] == [(0, 1), (1, got.filter("page_id = 1").first().n_chars)]
+    assert html_text.extract(spark.createDataFrame([], schema)).collect() == []
