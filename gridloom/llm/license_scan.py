@@ -322,8 +322,9 @@ def signatures() -> tuple[Signature, ...]:
 
 
 def gate_words(rules: tuple[Signature, ...]) -> list[str]:
-    """Words of which a text must hold one, as a substring, to match any rule or base phrase: each rule's longest, or what it has of ``licens``."""
-    longest = lambda text: next((part for w in text.split() for part in ("licens", "licenc") if part in w), max(text.split(), key=len))
+    """Words of which a text must hold one, as a substring, to match any rule or base phrase: each rule's longest, or one that few other texts have."""
+    rare = ("licens", "licenc", "gpl", "cc0")
+    longest = lambda text: next((part for part in rare if part in text), max(text.split(), key=len))
     words = {longest(s.form) for s in rules} | {longest(p) for p, _ in BASE}
     return sorted(w for w in words if not any(o != w and o in w for o in words))
 
