@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from gridloom.llm import license_scan, quality_rules, secret_scan
 
 
@@ -61,8 +63,9 @@ def secret_sql() -> str:
         regex, group = r.head + r.body, 0
         if r.kind == "assign":
             regex, group = any_case("(password|passwd|secret|token|api_?key)") + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2
-        elif r.run:
-            regex, group = r"Bearer\x20+([A-Za-z0-9][A-Za-z0-9._~+/=-]*)", 1
+        elif r.run:  # a word, spaces, and the value, whose length counts
+            word, spaces, value = re.fullmatch(r"(\w+)(\\x20\+)(.*)", r.head).groups()
+            regex, group = f"{word}{spaces}({value}{r.body})", 1
         found.append(f"select doc_id, {k} as rule, '{r.kind}' as kind, s, s + length(m) as e from ({places('d', 'doc_id', quoted(regex), group=group)}) where length(g) >= {r.least}")
     base = "('assign', 'access', 'hex')"
     joined = "string_agg(concat_ws(':', kind, s, e), ',' order by s, rule)"

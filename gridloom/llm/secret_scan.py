@@ -2,26 +2,34 @@
 
 The rules' regular expressions are compiled here: to one nondeterministic
 automaton, then by subset construction and minimisation to transition arrays.
-A text's UTF-8 bytes pass once through the combined automaton of all rules'
-heads, which reports where a match of a rule is certain; the rule's own reverse
-automaton then finds the leftmost start and the rule's own forward automaton the
-longest end, and lengths are checked.  Each rule's matches are leftmost and
-don't overlap, also with matches that fail their length.
-
-Rules' regexes know literals, classes, groups, ``|``, ``?``, ``*``, ``+``, ``{n}``,
-escapes of one character and ``\\xHH``.
-
-Defined cases: a null text is empty and has no spans; repeated rows are scanned
-one by one; an empty table gives an empty result.  Only the id and text columns
-are read.
+A text's UTF-8 bytes pass once through the combined automaton, whose accepting
+states tell for all rules where a match has begun; within a match the
+rule's own reverse arrays give the leftmost start and its own forward arrays the
+longest end, and lengths are checked.  A rule is parted into a head, which
+begins a match, and a body that extends it: bodies are runs that several
+rules can be in at once, and their subsets, unlike the heads', would multiply in
+the combined automaton.  Each rule's matches are leftmost and don't overlap, also
+with matches that fail their length.
+
+Rules' regexes know literals, ``.``, classes and negated classes, groups, ``|``,
+``?``, ``*``, ``+``, ``{m}``, ``{m,}``, ``{m,n}``, escapes of one character that is no letter or
+digit, and ``\\xHH``; anything else is an error.
+
+Defined cases: a null text is empty and has no spans; a very long text passes in
+one go, byte by byte, and only its spans are kept; spans that begin at one place
+go by the order of the rules; a null id stays null; repeated rows are scanned one
+by one; an empty table gives an empty result.  Only the id and text columns are
+read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from gridloom.llm.arrow import map_rows
@@ -29,7 +37,7 @@ from gridloom.llm.arrow import map_rows
 
 @dataclass(frozen=True)
 class Rule:
-    """``head`` then ``body``: a match is certain once the head has matched; ``body`` extends it.
+    """``head`` then ``body``: the head begins a match, and the body, which may ask for more, ends it.
 
     ``least`` is the length that a match needs, counted from the last
     ``count_from`` mark: the whole match, or its trailing run of ``run`` bytes.
@@ -55,6 +63,51 @@ RULES = (
     Rule("signed", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]", "[A-Za-z0-9_-]*(\\.[A-Za-z0-9_-]+)?", 30),
     Rule("private", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", "", 0),
     Rule("bearer", "Bearer\\x20+[A-Za-z0-9]", "[A-Za-z0-9._~+/=-]*", 20, "[A-Za-z0-9._~+/=-]"),
+    Rule("temporary", "ASIA[A-Z0-9]", "[A-Z0-9]*", 20),
+    Rule("merchant", "amzn\\.mws\\.[0-9a-f]", "[0-9a-f-]*", 40),
+    Rule("storage", "AccountKey=[A-Za-z0-9+/]", "[A-Za-z0-9+/=]*", 97),
+    Rule("fine-grained", "github_pat_[A-Za-z0-9_]", "[A-Za-z0-9_]*", 40),
+    Rule("lab", "gl(pat|dt|rt|ptt|ft|soat|agent|cbt|imt)-[A-Za-z0-9_-]", "[A-Za-z0-9_.-]*", 25),
+    Rule("app", "xapp-[0-9]-[A-Za-z0-9]", "[A-Za-z0-9-]*", 30),
+    Rule("webhook", "hooks\\.slack\\.com/services/T[A-Z0-9]", "[A-Za-z0-9/]*", 60),
+    Rule("oauth", "ya29\\.[A-Za-z0-9_-]", "[A-Za-z0-9_-]*", 30),
+    Rule("client", "GOCSPX-[A-Za-z0-9_-]", "[A-Za-z0-9_-]*", 35),
+    Rule("endpoint", "whsec_[A-Za-z0-9+/]", "[A-Za-z0-9+/=]*", 38),
+    Rule("square", "sq0(atp|csp|idp)-[A-Za-z0-9_-]", "[A-Za-z0-9_-]*", 29),
+    Rule("wave", "FLWSECK(_TEST)?-[A-Za-z0-9]", "[A-Za-z0-9-]*", 40),
+    Rule("post", "EZ[AT]K[A-Za-z0-9]", "[A-Za-z0-9]*", 58),
+    Rule("shop", "shp(at|ca|pa|ss)_[a-fA-F0-9]", "[a-fA-F0-9]*", 38),
+    Rule("model", "sk-(proj|svcacct|admin)-[A-Za-z0-9_-]", "[A-Za-z0-9_-]*", 48),
+    Rule("hub", "hf_[A-Za-z]", "[A-Za-z0-9]*", 37),
+    Rule("replica", "r8_[A-Za-z0-9]", "[A-Za-z0-9]*", 40),
+    Rule("npm", "npm_[A-Za-z0-9]", "[A-Za-z0-9]*", 40),
+    Rule("pypi", "pypi-AgE[A-Za-z0-9_-]", "[A-Za-z0-9_-]*", 70),
+    Rule("gems", "rubygems_[0-9a-f]", "[0-9a-f]*", 57),
+    Rule("nuget", "oy2[a-z0-9]", "[a-z0-9]*", 46),
+    Rule("docker", "dckr_(pat|oat)_[A-Za-z0-9_-]", "[A-Za-z0-9_-]*", 36),
+    Rule("ocean", "do[opr]_v1_[0-9a-f]", "[0-9a-f]*", 71),
+    Rule("vault", "hv[sbr]\\.[A-Za-z0-9_-]", "[A-Za-z0-9_-]*", 28),
+    Rule("bricks", "dapi[0-9a-f]", "[0-9a-f]*(-[0-9])?", 36),
+    Rule("grafana", "gl(sa|c)_[A-Za-z0-9+/]", "[A-Za-z0-9+/=_]*", 40),
+    Rule("relic", "NRAK-[A-Z0-9]", "[A-Z0-9]*", 32),
+    Rule("sentry", "sntry[su]_[A-Za-z0-9+/]", "[A-Za-z0-9+/=_]*", 60),
+    Rule("scale", "pscale_(tkn|pw|oauth)_[A-Za-z0-9_.-]", "[A-Za-z0-9_.-]*", 40),
+    Rule("atlas", "ATATT3[A-Za-z0-9_=-]", "[A-Za-z0-9_=-]*", 100),
+    Rule("linear", "lin_(api|oauth)_[A-Za-z0-9]", "[A-Za-z0-9]*", 48),
+    Rule("notes", "ntn_[A-Za-z0-9]", "[A-Za-z0-9]*", 46),
+    Rule("design", "figd_[A-Za-z0-9_-]", "[A-Za-z0-9_-]*", 45),
+    Rule("postman", "PMAK-[0-9a-f]", "[0-9a-f-]*", 60),
+    Rule("content", "CFPAT-[A-Za-z0-9_-]", "[A-Za-z0-9_-]*", 49),
+    Rule("build", "bkua_[a-z0-9]", "[a-z0-9]*", 45),
+    Rule("mail", "SG\\.[A-Za-z0-9_-]", "[A-Za-z0-9_-]*\\.[A-Za-z0-9_-]+", 60),
+    Rule("mailing", "xkeysib-[0-9a-f]", "[0-9a-f]*(-[A-Za-z0-9]+)?", 80),
+    Rule("gun", "key-[0-9a-f]", "[0-9a-f]*", 36),
+    Rule("account", "(AC|SK)[0-9a-f]", "[0-9a-f]*", 34),
+    Rule("age", "AGE-SECRET-KEY-1[A-Z0-9]", "[A-Z0-9]*", 74),
+    Rule("pgp", "-----BEGIN PGP PRIVATE KEY BLOCK-----", "", 0),
+    Rule("putty", "PuTTY-User-Key-File-[0-9]:", "", 0),
+    Rule("database", "(postgres(ql)?|mysql|mariadb|mongodb(\\+srv)?|rediss?|amqps?)://", "[A-Za-z0-9_.%-]*:[A-Za-z0-9_.%!$&*+=~-]+@[A-Za-z0-9.:/_-]+", 0),
+    Rule("basic", "Basic\\x20+[A-Za-z0-9+/]", "[A-Za-z0-9+/]*=?=?", 24, "[A-Za-z0-9+/=]"),
 )
 
 
@@ -86,51 +139,84 @@ class Parser:
             parts.append(self.repeated())
         return ("cat", parts)
 
+    def fail(self, what: str):
+        raise ValueError(f"{what} at {self.i} in {self.s!r}")
+
     def repeated(self):
         x = self.single()
         while (c := self.peek()) and c in "?*+{":
             self.i += 1
-            if c == "{":
-                to = self.s.index("}", self.i)
-                x, self.i = ("cat", [x] * int(self.s[self.i : to])), to + 1
-            else:
-                x = ({"?": "opt", "*": "star", "+": "plus"}[c], x)
+            x = self.times(x) if c == "{" else ({"?": "opt", "*": "star", "+": "plus"}[c], x)
+            if self.peek() in ("?", "+") and c != "?":
+                self.fail("lazy or possessive repeats")
         return x
 
+    def times(self, x):
+        """``{m}``, ``{m,}`` or ``{m,n}`` copies."""
+        to = self.s.find("}", self.i)
+        low, comma, high = self.s[self.i : to].partition(",")
+        if to < 0 or not low.isdigit() or high and (not high.isdigit() or int(high) < int(low)):
+            self.fail("a count that is none")
+        self.i = to + 1
+        rest = [("star", x)] if comma and not high else [("opt", x)] * (int(high) - int(low) if high else 0)
+        return ("cat", [x] * int(low) + rest)
+
     def char(self) -> int:
-        c = self.s[self.i]
+        c = self.peek() or self.fail("the end")
         self.i += 1
         if c == "\\":
-            c = self.s[self.i]
+            c = self.peek() or self.fail("the end")
             self.i += 1
             if c == "x":
+                digits = self.s[self.i : self.i + 2]
+                if not re.fullmatch("[0-9a-fA-F]{2}", digits):
+                    self.fail("two hexadecimal digits missing")
                 self.i += 2
-                return int(self.s[self.i - 2 : self.i], 16)
+                return int(digits, 16)
+            if c.isalnum():
+                self.fail(f"the unknown escape {c!r}")
+        if ord(c) > 127:
+            self.fail("a character outside ASCII")
         return ord(c)
 
-    def fold(self, found: set[int]):
+    def fold(self, found: set[int], but: bool = False):
         if self.any_case:
             found |= {b ^ 32 for b in found if 65 <= (b & ~32) <= 90}
-        return ("byte", frozenset(found))
+        return ("byte", frozenset(range(256)) - found if but else frozenset(found))
 
     def single(self):
         c = self.peek()
         if c == "(":
             self.i += 1
+            if self.peek() == "?":
+                if self.s[self.i : self.i + 2] != "?:":
+                    self.fail("a group of unknown kind")
+                self.i += 2
             x = self.either()
+            if self.peek() != ")":
+                self.fail("an open group")
             self.i += 1
             return x
         if c == "[":
             self.i += 1
+            but = self.peek() == "^"
+            self.i += but
             found: set[int] = set()
             while self.peek() != "]":
                 low = high = self.char()
-                if self.peek() == "-" and self.s[self.i + 1] != "]":
+                if self.peek() == "-" and self.s[self.i + 1 : self.i + 2] not in ("]", ""):
                     self.i += 1
                     high = self.char()
+                if high < low:
+                    self.fail("a range that is none")
                 found |= {*range(low, high + 1)}
             self.i += 1
-            return self.fold(found)
+            return self.fold(found, but)
+        if c == ".":
+            self.i += 1
+            return ("byte", frozenset(range(256)) - {10})
+        if c in "^$?*+{":
+            self.fail(f"{c!r} as syntax that is unknown here")
         return self.fold({self.char()})
 
 
@@ -200,14 +286,31 @@ class Dfa:
 def determinise(nfa: Nfa, starts, ends: dict[int, int], floating: bool = False) -> Dfa:
     """Subset construction, then minimisation.  ``ends``: accepting state to rule.  ``floating``: matches begin anywhere."""
     classes: dict[tuple, int] = {}
-    of_byte = [classes.setdefault(tuple(b in m for ms in nfa.moves for m, _ in ms), len(classes)) for b in range(256)]
+    sets = list({m for ms in nfa.moves for m, _ in ms})
+    of_byte = [classes.setdefault(tuple(b in m for m in sets), len(classes)) for b in range(256)]
     sample = [of_byte.index(k) for k in range(len(classes))]
+    holds = {m: [k for k, b in enumerate(sample) if b in m] for m in sets}
     base = nfa.closure(starts)
+    reach = [nfa.closure([t]) for t in range(len(nfa.moves))]
+
+    def moves(states) -> dict[int, set[int]]:
+        out: dict[int, set[int]] = {}
+        for s in states:
+            for m, t in nfa.moves[s]:
+                for k in holds[m]:
+                    out.setdefault(k, set()).update(reach[t])
+        return out
+
+    # Where matches begin anywhere, the start's states are in every subset, so their moves are laid once.
+    always = base if floating else frozenset()
+    from_base = moves(always)
+    common = [frozenset(from_base.get(k, ())) | always for k in range(len(classes))]
     number, order, rows = {base: 0}, [base], []
     for now in order:
-        row = []
-        for b in sample:
-            to = nfa.closure({t for s in now for m, t in nfa.moves[s] if b in m}) | (base if floating else frozenset())
+        row, more = [], moves(now - always)
+        for k, to in enumerate(common):
+            if k in more:
+                to = to | more[k]
             if to not in number:
                 number[to] = len(order)
                 order.append(to)
@@ -215,13 +318,14 @@ def determinise(nfa: Nfa, starts, ends: dict[int, int], floating: bool = False)
         rows.append(row)
     accepts = [tuple(sorted({ends[s] for s in x if s in ends})) for x in order]
     ids: dict = {}
-    block = [ids.setdefault(a, len(ids)) for a in accepts]
+    block = np.array([ids.setdefault(a, len(ids)) for a in accepts])
+    grid, n = np.array(rows), len(ids)
     while True:  # split blocks until all states of a block move alike
-        ids = {}
-        finer = [ids.setdefault((block[i], *(block[t] for t in row)), len(ids)) for i, row in enumerate(rows)]
-        if len(ids) == len(set(block)):
+        kinds, block = np.unique(np.column_stack([block, block[grid]]), axis=0, return_inverse=True)
+        if len(kinds) == n:
             break
-        block = finer
+        n = len(kinds)
+    block = block.ravel().tolist()
     first = {b: i for i, b in reversed([*enumerate(block)])}
     ranked = sorted(first, key=lambda b: (bool(accepts[first[b]]), first[b]))
     at = {b: k * 256 for k, b in enumerate(ranked)}
@@ -275,8 +379,9 @@ class Scanner:
             if s >= limit:
                 for k in accept[s]:
                     if at > used[k] and (start := self.longest(self.backward[k], data, at, used[k], -1)) >= 0:
-                        end = used[k] = self.longest(self.forward[k], data, start, len(data), 1)
-                        if self.long_enough(k, data, start, end):
+                        end = self.longest(self.forward[k], data, start, len(data), 1)
+                        used[k] = max(used[k], end)
+                        if end >= 0 and self.long_enough(k, data, start, end):
                             out.append((start, k, end))
         return sorted(out)
 
