@@ -167,3 +167,25 @@ def test_license_identifiers(spark):
         r = got[i if i < 2 else i + 1]
         assert (r.labels, r.identifiers) == want, text
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == plain_licenses(text), text
+
+
+def test_quality_rule_edges(spark):
+    """The boilerplate length's edge, menu lines, sentence ends, and limits that are met exactly."""
+    line = "We use cookies on this page and on others. "
+    cases = {line.strip() + "x" * (160 - len(line.strip()) - 1) + ".": False, line.strip() + "x" * (161 - len(line.strip()) - 1) + ".": True, "Home: about us": False, "It ends here:": True, "Dr. Who": True, "He said to all of them there: “Go!”": True, "no end": False, "": True}
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, x string").select("i", quality_rules.line_ok(quality_rules.F.col("x")).alias("ok")).collect()
+    assert {list(cases)[r.i]: r.ok for r in got} == cases
+    text = "\n".join(["Ten good words stand in this line, and it ends." ] * 1 + ["bad line without an end of fifty characters, or so"])
+    half = quality_rules.assess(spark.createDataFrame([(1, text)], "doc_id int, text string"), min_words=1, max_loss_pct=100).first()
+    assert half.n_bad_lines == 1 and half.cleaned == text.split("\n")[0]
+    pct = 100 * half.lost_chars // sum(len(x) for x in text.split("\n"))
+    kept = lambda p: quality_rules.assess(spark.createDataFrame([(1, text)], "doc_id int, text string"), min_words=1, max_loss_pct=p).filter("kept").count()
+    assert kept(pct + 1) == 1 and kept(pct) == 0
+
+
+def test_quality_repeats_in_very_long_texts(spark):
+    """Over 2**20 words, with few and with very many repeats."""
+    many = " ".join(f"{i % 700_000}" for i in range(1_100_000))
+    few = " ".join(map(str, range(1_060_000))) + " 5 6 7 8"
+    got = {r.doc_id: r for r in quality_rules.assess(spark.createDataFrame([(1, many), (2, few)], "doc_id int, text string")).select("doc_id", "n_words", "n_repeat_words").collect()}
+    assert (got[1].n_words, got[1].n_repeat_words) == (1_100_000, 800_000) and got[2].n_repeat_words == 8
