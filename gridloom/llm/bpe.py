@@ -5,9 +5,12 @@ symbols; queue entries whose symbols have changed since are skipped.  Decoding
 concatenates the vocabulary's strings, with a space between tokens, which is
 what the vocabulary's own library does for a file without a decoder.
 
-Defined cases: a null text is the empty text and has no tokens; repeated rows
-and ids are encoded one by one; an empty table gives an empty result.  Only the
-id and text columns are read.
+Defined cases: a null text is the empty text and has no tokens; a very long text
+is encoded whole, in memory in proportion to its length, and a long word's queue
+takes n log n steps; of pairs with equal ranks the leftmost merges first; null
+ids stay null; repeated rows and ids are encoded one by one; an empty table gives
+an empty result.  Only the id and text columns are read, so other columns can't
+clash.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from gridloom.llm.arrow import map_rows, text_or_empty
 
 #: White space outside ASCII that the vocabulary's normaliser turns into a space (fixed values of Unicode's White_Space).
 WHITE = "[\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-#: Entries of each half of a worker's cache of encoded chunks, and of pre-tokens; results don't depend on it.
-CACHE_ENTRIES = 350_000
+#: Entries of each half of a worker's cache of encoded chunks, and of the chunks that one text had so far; results don't depend on them.
+CACHE_ENTRIES, FRESH_ENTRIES = 200_000, 100_000
+#: Pre-tokens that are kept.
+PIECES = 250_000
 
 
 def byte_symbols() -> list[str]:
@@ -105,7 +110,7 @@ class WordBpe:
         for piece in self.split(text):
             ids = self.words.get(piece)
             if ids is None:
-                if len(self.words) >= 2 * CACHE_ENTRIES:
+                if len(self.words) >= PIECES:
                     self.words.clear()
                 ids = self.words[piece] = self.merge(piece)
             out += ids
@@ -133,11 +138,13 @@ class Chunks:
     """Values of the chunks between ASCII white space, each computed once while it is cached.
 
     No pre-token, special token or composition reaches across ASCII white
-    space, so the chunks' values in order are the text's.
+    space, so the chunks' values in order are the text's.  A chunk that only one
+    text has, as most of a corpus's different chunks, stays among the new ones
+    and is soon forgotten; one that a second text has goes to the cache.
     """
 
     def __init__(self, compute):
-        self.compute, self.cache, self.older = compute, {}, {}
+        self.compute, self.cache, self.older, self.fresh, self.faded = compute, {}, {}, {}, {}
 
     def of(self, text: str) -> list:
         cache = self.cache
@@ -146,12 +153,18 @@ class Chunks:
         if not all(out):  # a miss, or a chunk without tokens
             places = [i for i, v in enumerate(out) if v is None]
             missing = {parts[i] for i in places}
-            new = {p: self.older[p] for p in missing if p in self.older}
-            rest = [p for p in missing if p not in new]
+            again, new = {}, {}
+            for known in (self.older, self.fresh, self.faded):
+                again.update((p, known[p]) for p in missing if p in known)
+            rest = [p for p in missing if p not in again]
             new.update(zip(rest, self.compute([p.decode() for p in rest])))
-            if len(cache) + len(new) > CACHE_ENTRIES:  # what is still in use comes back from the older half
+            if len(cache) + len(again) > CACHE_ENTRIES:  # what is still in use comes back from the older half
                 self.older, self.cache = cache, {}
-            self.cache.update(new)
+            if len(self.fresh) + len(new) > FRESH_ENTRIES:
+                self.faded, self.fresh = self.fresh, {}
+            self.cache.update(again)
+            self.fresh.update(new)
+            new.update(again)
             for i in places:
                 out[i] = new[parts[i]]
         return out
@@ -212,7 +225,7 @@ def library_chunks(path: str) -> Chunks:
                 cut[i] = [c]
                 apart.add(c)
         missing = list({p for ps in cut for p in ps if p not in pieces})
-        if len(pieces) + len(missing) > 2 * CACHE_ENTRIES:
+        if len(pieces) + len(missing) > PIECES:
             pieces.clear()
             missing = list({p for ps in cut for p in ps})
         pieces.update(zip(missing, library(missing)))
