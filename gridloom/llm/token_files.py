@@ -10,10 +10,11 @@ Layout, little-endian: magic ``GLIDS001``; header of six u64 (documents, ids,
 bytes an id, documents without an id, first document id as i64, end token);
 the boundaries; the document ids; the id array.
 
-Defined cases: a null text is empty and holds the end id alone; rows without a
-doc_id come first; repeated doc_ids stay as documents of their own, ordered by
+Defined cases: a null text is empty and holds the end id alone; a very long text
+makes a shard of its own length; rows without a doc_id come first; repeated
+doc_ids stay as documents of their own, ordered by a hash of the text, then by
 text; an empty table gives no file and an empty result.  Only the id and text
-columns are read.
+columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ HEADER = struct.Struct("<QQQQqQ")
 #: Ones between two samples of the select directory.
 SAMPLE = 256
 #: A shard is closed once it has this many ids; a longer document makes a longer shard.
-SHARD_IDS = 8_000_000
+SHARD_IDS = 4_000_000
 
 
 @dataclass
@@ -165,7 +166,9 @@ def write(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", t
     attempt; the manifest names those of the attempts that ended.
     """
     make_dir(folder)
-    ranged = df.select(F.col(id_col).cast("bigint").alias("k"), text_or_empty(text_col).alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
+    ranged = df.select(F.col(id_col).cast("bigint").alias("k"), text_or_empty(text_col).alias("t")).withColumn("h", F.xxhash64("t")).withColumn("row", F.monotonically_increasing_id())
+    # Documents without an id, or with one id, spread by their texts, and equal ones by their rows.
+    ranged = ranged.repartitionByRange("k", "h", "row").sortWithinPartitions("k", "h", "t").select("k", "t")
     schema = "file string, part int, seq int, n_docs bigint, n_ids bigint"
 
     target = arrow_schema(schema)
