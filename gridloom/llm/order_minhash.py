@@ -1,14 +1,28 @@
 """Order MinHash fingerprints, sensitive to edit distance.
 
-A text's elements are windows of words numbered by occurrence, so that a
-repeated window counts each time.  For each of the sketch's hash functions the
-elements with the least hashes are selected, put back in text order and hashed
-as a tuple.  Two texts' likeness is the share of equal tuples: it falls both
-with other content and with another order.
+A text's elements are windows of tokens numbered by occurrence, so that a
+repeated window counts each time.  Tokens are words; a word of over
+``LONG`` bytes is cut where two neighbouring bytes say so, so that an edit in a
+text without white space changes the tokens around it and no others.  For each of
+the sketch's hash functions the elements with the least hashes are selected, put
+back in text order and hashed as a tuple.  Two texts' likeness is the share of
+equal tuples: it falls both with other content and with another order.
+
+All hashes are modulo 2**64.  ``mix(x)`` xors x with itself shifted right by 32,
+multiplies by 0x9E3779B97F4A7C15, xors with itself shifted right by 29, multiplies
+by 0xD6E8FEB86659FD93 and xors with itself shifted right by 32.  A byte b has the
+value mix(b + 0x2545F4914F6CDD1D); a token's hash is the sum of its bytes' values
+times the powers of 0x9FB21C651E98DF25, from power 0.
 
 Defined cases: a null text is empty; texts without a word have the fingerprint
-of all zeros, alike only to each other; texts with fewer words than a window
-are one element; equal texts have equal fingerprints.
+of all zeros, alike only to each other; texts with fewer tokens than a window are
+one element; a very long text takes memory in proportion to its length, and its
+elements are hashed in blocks; of equal least hashes the earlier element is
+selected; equal texts have equal fingerprints.  Documents follow each other by
+id, those without one first; repeated ids by a hash of the text, and rows that
+are wholly equal in any order; an only document follows itself; an empty table
+gives an empty result.  Only the id and text columns are read, so other columns
+can't clash.
 """
 
 from __future__ import annotations
@@ -17,12 +31,15 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrow import arrow_schema, rows_of, text_or_empty, to_batch
+from gridloom.plans.durable import materialize
 
-#: Words in a window, elements in a tuple, tuples in a fingerprint (16 bits each).
+#: Bytes of a word that is not cut.
+LONG = 16
+#: Tokens in a window, elements in a tuple, tuples in a fingerprint (16 bits each).
 WINDOW, CHOSEN, TUPLES = 2, 2, 64
 #: Elements hashed at once.
 BLOCK = 4_096
@@ -47,6 +64,8 @@ def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
 _BYTES = _mix(np.arange(256, dtype=np.uint64) + np.uint64(0x2545F4914F6CDD1D))
 _BASE = 0x9FB21C651E98DF25
 _PLACES = (0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+#: Whether a long word is cut between two bytes, at index first * 256 + second; true for about a quarter of the pairs.
+_CUT = _mix(np.arange(65536, dtype=np.uint64) + np.uint64(0x1D8E4E27C47D124F)) % np.uint64(4) == 0
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
@@ -66,12 +85,22 @@ class _Powers:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A hash for each word (between ASCII white space): differences of one running sum over the bytes."""
+    """A hash for each token: differences of one running sum over the bytes."""
     data = np.frombuffer(text.encode(), np.uint8)
     if not len(data):
         return np.empty(0, np.uint64)
     edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if len(starts) and (ends - starts).max() > LONG:
+        cut = _CUT[(data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:]]
+        inside = np.zeros(len(data), np.int8)  # 1 at the first byte of a long word, -1 after its last: a running sum
+        long = ends - starts > LONG
+        inside[starts[long]] += 1
+        after = ends[long]
+        inside[after[after < len(data)]] -= 1
+        word = np.cumsum(inside, dtype=np.int8) > 0
+        at = np.flatnonzero(cut & word[:-1] & word[1:]) + 1
+        starts, ends = np.sort(np.concatenate([starts, at])), np.sort(np.concatenate([ends, at]))
     up, down = _Powers.of(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[:-1], out=total[1:])
@@ -147,49 +176,55 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Fingerprints of each text, of its edited text and their likeness, and that to the next text.
 
     The edited text replaces a text's last half (rounded down) by as many code
-    points from the start of the next document's, in order of id and text; the
-    first follows the last.  Rows without an id come first; repeated ids follow
-    each other.
+    points from the start of the next document's; the first follows the last.
 
-    Texts are dealt once, by ranges of ids that cut points from an approximate
-    quantile of the ids bound.  Each range also gets a copy of the next range's
-    first document, so every task meets its rows' successors in one sorted pass.
+    Texts are dealt once, by ranges of (id, hash of the text, row), and each range
+    is one sorted pass.  A range's last document needs the next range's first:
+    both texts go to the result's table beside the range's rows, where one row a
+    range meets its successor.
     """
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("bigint").alias("k"), text_or_empty(text_col).alias("t"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
-    cuts = sorted(set(cuts or []))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("k"))) if cuts else F.lit(0)
-    ranged = docs.select("k", "t", F.when(F.col("k").isNull(), 0).otherwise(part).alias("part"))
-    # One row for each range: its first document, as the successor of the range before it (of the last, for the first).
-    firsts = ranged.groupBy("part").agg(F.min(F.struct(F.coalesce("k", F.lit(-(2**63))).alias("k"), "t")).alias("f"))
-    heads = [r.part for r in firsts.select("part").orderBy("part").collect()]
-    before = {p: heads[i - 1] for i, p in enumerate(heads)}
-    to = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("part")) if before else F.col("part")
-    copies = firsts.select(F.col("f.k").alias("k"), F.col("f.t").alias("t"), to.alias("part"), F.lit(True).alias("copy"))
-    dealt = ranged.select("k", "t", "part", F.lit(False).alias("copy")).union(copies)
-    dealt = dealt.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "copy", "k", "t")
+    keyed = docs.select("k", "t", F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("row"))
+    keys = ["k", "h", "row"]
+    dealt = (keyed.repartitionByRange(parts, *keys) if parts else keyed.repartitionByRange(*keys)).sortWithinPartitions(*keys).select("k", "t")
     id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    results = f"`{id_col}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    # Rows of a range have its number; its first and last text stand in a row of their own.
+    schema = f"{results}, part int, head string, last_k bigint, last_t string"
+    target, result = arrow_schema(schema), arrow_schema(results)
 
-    target = arrow_schema(schema)
+    def pair(k, t, s, text, own):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + text[:half]
+        e = sketch(edited)
+        return k, len(t), hashlib.sha256(edited.encode()).hexdigest(), as_text(s), as_text(e), likeness(s, e), likeness(s, own)
 
     def run(batches):
-        held, out = None, []
-        for key, text, _, copy in rows_of(batches):
+        from pyspark import TaskContext
+
+        part, head, held, out = TaskContext.get().partitionId(), None, None, []
+        for key, text in rows_of(batches):
             own = sketch(text)
-            if held is not None:
-                k, t, s = held
-                half = len(t) // 2
-                edited = t[: len(t) - half] + text[:half]
-                e = sketch(edited)
-                out.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest(), as_text(s), as_text(e), likeness(s, e), likeness(s, own)))
+            if held is None:
+                head = text
+            else:
+                out.append((*pair(*held, text, own), part, None, None, None))
                 if len(out) >= 2048:
                     yield to_batch(out, target)
                     out = []
-            held = None if copy else (key, text, own)
-        if out:
-            yield to_batch(out, target)
-
-    return dealt.mapInArrow(run, schema).withColumn(id_col, F.col(id_col).cast(id_type))
+            held = key, text, own
+        if held is not None:
+            yield to_batch([*out, (*[None] * 7, part, head, held[0], held[1])], target)
+
+    made = materialize(dealt.mapInArrow(run, schema), "sketches")
+    ends = made.filter("head is not null").select("part", "head", "last_k", "last_t")
+    order = Window.orderBy("part")  # a row a range
+    first = F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    met = ends.select("last_k", "last_t", F.coalesce(F.lead("head").over(order), first).alias("next"))
+
+    def close(batches):
+        for k, t, text in rows_of(batches):
+            yield to_batch([pair(k, t, sketch(t), text, sketch(text))], result)
+
+    names = result.names
+    return made.filter("head is null").select(*names).union(met.mapInArrow(close, results)).withColumn(id_col, F.col(id_col).cast(id_type))
