@@ -6,13 +6,17 @@ sequences that keep every capacity, the one with the least weighted residual
 norm, or the greatest weighted dot product of need and residual, takes the piece.
 
 Pieces are dealt to groups of bounded size, whatever their document, and each
-group is packed by one task, so no task grows with the input; a group leaves a
-few sequences part full at most.
-
-Defined cases: a null text is empty and holds the end id alone; ties go to the
-oldest sequence; repeated rows are packed one by one; rows without an id keep
-the null; an empty table gives an empty result.  Only the id and text columns
-are read.
+group is packed by one task, so no task grows with the input.  The emptiest
+sequences of each group are opened again and packed with those of the other
+groups, in as many passes as their number asks for, so that groups cost next to
+no sequences.
+
+Defined cases: a null text is empty and holds the end id alone; a very long text
+is cut into pieces of a sequence's length, the last one shorter; of equally long
+pieces the earlier is placed first, and of equally good sequences the oldest
+takes it; repeated rows are packed one by one; rows without an id keep the null;
+an empty table gives an empty result.  Only the id and text columns are read, so
+other columns can't clash.
 """
 
 from __future__ import annotations
@@ -30,9 +34,15 @@ from gridloom.plans.durable import materialize
 
 #: A group has at most about so many tokens, in sequences' lengths, and so many pieces.
 GROUP_SEQUENCES, GROUP_PIECES = 4096, 200_000
+#: Sequences of a group that the next pass opens again.
+LOOSE = 16
+#: Passes after the first; each opens again at most LOOSE of a group's sequences, so they end long before on groups of full size.
+PASSES = 8
+#: Weights of tokens, documents and cost in a sequence's score.
+WEIGHTS = (1.0, 0.01, 0.01)
 
 
-def best_fit(lengths: np.ndarray, max_tokens: int = 4096, max_documents: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def best_fit(lengths: np.ndarray, max_tokens: int = 4096, max_documents: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS, score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """The sequence and the offset of each piece.  Unset capacities are those that tokens imply."""
     n = len(lengths)
     capacity = np.array([max_tokens, max_documents or max_tokens, max_cost or max_tokens**2], np.int64)
@@ -73,40 +83,88 @@ def best_fit(lengths: np.ndarray, max_tokens: int = 4096, max_documents: int | N
     return bin_of, offset
 
 
-def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096, end_id: int = 1) -> DataFrame:
-    """``id, piece, start, length, ids_crc32``: documents' ids with the end id, cut only where longer than a sequence."""
-    id_type = df.schema[id_col].dataType.simpleString()
+def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+    """``id, piece, start, length, ids_crc32``: documents' ids with the end id, cut only where longer than a sequence.
+
+    With ``with_ids`` also ``row``, a number of the piece's own, and ``ids``, its ids
+    as little-endian unsigned 32-bit integers.
+    """
+    id_type, made = df.schema[id_col].dataType.simpleString(), [0]
 
     def fn(key, text):
+        from pyspark import TaskContext
+
         ids = library_ids(text, vocabulary) + struct.pack("<I", end_id)
         for k, at in enumerate(range(0, len(ids), 4 * max_tokens)):
             part = ids[at : at + 4 * max_tokens]
-            yield key, k, at // 4, len(part) // 4, zlib.crc32(part)
-
-    return map_rows(df.select(F.col(id_col), text_or_empty(text_col)), fn, f"`{id_col}` {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint")
-
-
-def pack(cut: DataFrame, max_tokens: int = 4096, max_documents: int | None = None, max_cost: int | None = None, score: str = "norm") -> DataFrame:
+            more = ((TaskContext.get().partitionId() << 36) + made[0], part) if with_ids else ()
+            made[0] += 1
+            yield key, k, at // 4, len(part) // 4, zlib.crc32(part), *more
+
+    return map_rows(df.select(F.col(id_col), text_or_empty(text_col)), fn, f"`{id_col}` {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", row bigint, ids binary" * with_ids)
+
+
+def pack(
+    cut: DataFrame,
+    max_tokens: int = 4096,
+    max_documents: int | None = None,
+    max_cost: int | None = None,
+    weights: tuple[float, float, float] = WEIGHTS,
+    score: str = "norm",
+    group_sequences: int = GROUP_SEQUENCES,
+    group_pieces: int = GROUP_PIECES,
+    _pass: int = 0,
+) -> DataFrame:
     """``cut`` (a table in storage, with ``length``) with ``sequence_id`` and ``offset``.
 
     Groups are dealt by the row's place in the stored table, which is even
     whatever the keys and the same if a task runs again.
     """
     n, tokens = cut.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    groups = max(1, -(-tokens // (GROUP_SEQUENCES * max_tokens)), -(-n // GROUP_PIECES))
+    groups = max(1, -(-tokens // (group_sequences * max_tokens)), -(-n // group_pieces))
     dealt = cut.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    again = groups > 1 and _pass < PASSES
 
     def run(pdf):
         if len(pdf):
-            bins, offsets = best_fit(pdf["length"].to_numpy(), max_tokens, max_documents, max_cost, score=score)
-            pdf["sequence_id"], pdf["offset"] = (pdf["_group"].to_numpy(np.int64) << 32) + bins, offsets
+            lengths = pdf["length"].to_numpy()
+            bins, offsets = best_fit(lengths, max_tokens, max_documents, max_cost, weights, score)
+            pdf["sequence_id"], pdf["offset"] = (_pass << 56) + (pdf["_group"].to_numpy(np.int64) << 24) + bins, offsets
+            used = np.bincount(bins, lengths)
+            emptiest = np.argsort(used, kind="stable")[: LOOSE if again else 0]
+            pdf["_loose"] = np.isin(bins, emptiest[used[emptiest] < max_tokens])
         return pdf.drop(columns="_group")
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes) + ", sequence_id bigint, offset bigint"
-    return dealt.groupBy("_group").applyInPandas(run, schema)
-
-
-def pack_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096, max_documents: int | None = None, max_cost: int | None = None, end_id: int = 1) -> DataFrame:
-    """Encode, cut and pack: the id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = materialize(pieces(df, vocabulary, id_col, text_col, max_tokens, end_id), "pieces")
-    return pack(cut, max_tokens, max_documents, max_cost)
+    columns = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes)
+    packed = dealt.groupBy("_group").applyInPandas(run, f"{columns}, sequence_id bigint, offset bigint, _loose boolean")
+    if not again:
+        return packed.drop("_loose")
+    packed = materialize(packed, "packed")
+    left = materialize(packed.filter("_loose").select(*cut.columns), "loose")
+    rest = pack(left, max_tokens, max_documents, max_cost, weights, score, group_sequences, group_pieces, _pass + 1)
+    return packed.filter("not _loose").drop("_loose").union(rest)
+
+
+def pack_documents(
+    df: DataFrame,
+    vocabulary: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_tokens: int = 4096,
+    max_documents: int | None = None,
+    max_cost: int | None = None,
+    end_id: int = 1,
+    weights: tuple[float, float, float] = WEIGHTS,
+    with_ids: bool = False,
+    piece_tokens: int | None = None,
+) -> DataFrame:
+    """Encode, cut and pack: the id, piece, start, length, ids_crc32, sequence_id, offset; with ``with_ids`` the ids too.
+
+    Ids stay in storage while lengths are packed, and meet their places by the
+    piece's number.  Documents are cut at ``piece_tokens`` (a sequence's length).
+    """
+    cut = materialize(pieces(df, vocabulary, id_col, text_col, piece_tokens or max_tokens, end_id, with_ids), "pieces")
+    if not with_ids:
+        return pack(cut, max_tokens, max_documents, max_cost, weights)
+    placed = pack(cut.drop("ids"), max_tokens, max_documents, max_cost, weights)
+    return placed.join(cut.select("row", "ids"), "row").drop("row")

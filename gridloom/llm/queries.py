@@ -49,6 +49,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), max_tokens=MAX_TOKENS)
 
 
+def packing_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing under limits of documents and attention cost that bind beside the tokens'."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), max_tokens=MAX_TOKENS, piece_tokens=1024, max_documents=16, max_cost=2 * 1024**2, weights=(1.0, 0.5, 0.5))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -77,5 +82,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_bpe, op3_warc, op4_token_files, op5_order_minhash, op6_best_fit_packing, op7_simhash, op8_license_scan, op9_html_text, op10_secret_scan, pipeline)
+    found = (op1_quality_rules, op2_bpe, op3_warc, op4_token_files, op5_order_minhash, op6_best_fit_packing, op7_simhash, op8_license_scan, op9_html_text, op10_secret_scan, packing_limits, pipeline)
     return {f.__name__: f for f in found}

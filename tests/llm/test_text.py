@@ -102,13 +102,13 @@ def test_vector_capacities():
             assert own.sum() <= 1000 and len(own) <= 3 and (own**2).sum() <= 500_000
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, width=3):
     import xxhash
 
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -291,16 +291,6 @@ def test_empty_tables(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
-def test_pipeline(spark, tmp_path):
-    got = queries()["pipeline"](spark, SF).toPandas()
-    kept = set(got.doc_id)
-    from gridloom.llm import quality_rules
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    passed = [(r.doc_id, plain_fingerprint(r.cleaned)) for r in quality_rules.assess(docs).filter("kept").collect()]
-    assert kept == {i for i, _, c in plain_components(passed) if i == c}
-    assert got.groupby("sequence_id").length.sum().max() <= 4096
-
 
 @pytest.mark.parametrize(("bits", "bucket"), [(0, 1), (2, 1), (3, 2), (3, 64)])
 def test_links(spark, bits, bucket):
@@ -491,3 +481,150 @@ def test_secret_cases(spark):
     got = secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string, spans array<int>, n_hex int")).collect()
     found = sorted((r.doc_id or 0, [(s.start, s.kind, s.end) for s in r.spans]) for r in got)
     assert found == [(0, []), (0, [(0, "access", 21)]), (4, []), *[(7, [(2, "assign", 32), (11, "access", 32)])] * 2]
+
+
+def plain_best_fit(lengths, capacity, weights, score):
+    """Every open sequence is tried for every piece, longest first, in exact fractions; ties go to the oldest."""
+    from fractions import Fraction
+
+    scale = [Fraction(w) / c**2 for w, c in zip(weights, capacity)]
+    bins, place = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        need = (lengths[i], 1, lengths[i] ** 2)
+        best = None
+        for b, left in enumerate(bins):
+            if all(x >= y for x, y in zip(left, need)):
+                value = sum(s * (x - y) ** 2 for s, x, y in zip(scale, left, need)) if score == "norm" else -sum(s * x * y for s, x, y in zip(scale, left, need))
+                if best is None or value < best[0]:
+                    best = value, b
+        if best is None:
+            bins.append(list(capacity))
+        b = len(bins) - 1 if best is None else best[1]
+        place[i] = b, capacity[0] - bins[b][0]
+        bins[b] = [x - y for x, y in zip(bins[b], need)]
+    return [place[i] for i in range(len(lengths))]
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_best_fit(score):
+    """Placement under three limits that bind, with many equal lengths."""
+    rng = np.random.default_rng(6)
+    for capacity, weights in (((100, 100, 10_000), (1.0, 0.01, 0.01)), ((100, 5, 10_000), (1.0, 0.5, 0.25)), ((100, 100, 2_500), (1.0, 0.5, 0.5)), ((64, 4, 1_600), (0.25, 0.5, 1.0))):
+        top = int(min(capacity[0], capacity[2] ** 0.5))
+        for lengths in (rng.integers(1, top + 1, 150), rng.choice([1, 2, 7, top], 120), np.full(40, top // 3)):
+            bins, offsets = packing.best_fit(lengths, *capacity, weights, score)
+            assert list(zip(bins.tolist(), offsets.tolist())) == plain_best_fit(lengths.tolist(), capacity, weights, score)
+
+
+def test_groups_cost_no_sequences(spark):
+    """Many small groups: with the later passes there are hardly more sequences than in one group."""
+    lengths = [int(x) for x in np.random.default_rng(2).integers(1, 400, 2000)]
+    from gridloom.plans.durable import materialize
+
+    cut = materialize(spark.createDataFrame([(i, x) for i, x in enumerate(lengths)], "doc_id bigint, length bigint"))
+    one = packing.pack(cut, 1000).toPandas()
+    many = packing.pack(cut, 1000, group_sequences=50).toPandas()
+    apart = -(-sum(lengths) // 1000)
+    for got in (one, many):
+        assert sorted(zip(got.doc_id, got.length)) == list(enumerate(lengths))
+        for _, g in got.groupby("sequence_id"):
+            g = g.sort_values("offset")
+            assert (g.offset.to_numpy() == np.concatenate(([0], g.length.cumsum()[:-1]))).all() and g.length.sum() <= 1000
+    assert one.sequence_id.nunique() <= apart + 1 and many.sequence_id.nunique() <= apart + 2
+
+
+def test_packed_ids(spark, library):
+    """Pieces' ids are the documents' ids at the pieces' places; limits of documents and cost hold."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = packing.pack_documents(docs, vocabulary(), max_documents=16, max_cost=2 * 1024**2, piece_tokens=1024, weights=(1.0, 0.5, 0.5), with_ids=True).toPandas()
+    for d, g in got.groupby("doc_id"):
+        ids = np.array([*ids_of(library, texts[d]), 1], "<u4")
+        g = g.sort_values("piece")
+        assert b"".join(map(bytes, g.ids)) == ids.tobytes() and (g.length.iloc[:-1] == 1024).all() and list(g.start) == [1024 * k for k in range(len(g))]
+        assert [zlib.crc32(x) for x in g.ids] == list(g.ids_crc32)
+    sums = got.assign(cost=got.length**2).groupby("sequence_id").agg(n=("length", "size"), tokens=("length", "sum"), cost=("cost", "sum"))
+    assert sums.n.max() == 16 and sums.tokens.max() <= 4096 and sums.cost.max() <= 2 * 1024**2
+    assert (sums.cost > 1.9 * 1024**2).any()
+
+
+def plain_sketch(text, chosen=2, tuples=64):
+    """A fingerprint by the module's text, with Python's integers."""
+    M = 2**64 - 1
+
+    def mix(x):
+        x = (x ^ (x >> 32)) * 0x9E3779B97F4A7C15 & M
+        x = (x ^ (x >> 29)) * 0xD6E8FEB86659FD93 & M
+        return x ^ (x >> 32)
+
+    cuts = lambda a, b: mix(a * 256 + b + 0x1D8E4E27C47D124F) % 4 == 0
+    tokens = []
+    for word in (text or "").encode().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split(b" "):
+        at = [0] + ([i + 1 for i in range(len(word) - 1) if cuts(word[i], word[i + 1])] if len(word) > 16 else []) + [len(word)]
+        tokens += [word[a:b] for a, b in zip(at, at[1:]) if b > a]
+    if not tokens:
+        return None
+    hashes = [sum(mix(b + 0x2545F4914F6CDD1D) * pow(0x9FB21C651E98DF25, i, 2**64) for i, b in enumerate(t)) & M for t in tokens]
+    k = min(2, len(hashes))
+    seen, elements = defaultdict(int), []
+    for i in range(len(hashes) - k + 1):
+        g = hashes[i] * 0x8CB92BA72F3D8DD7 & M
+        if k == 2:
+            g = ((g ^ (g >> 33)) + hashes[i + 1] * 0xA24BAED4963EE407) & M
+        elements.append(mix((g + seen[g] * 0xE7037ED1A0B428DB) & M))
+        seen[g] += 1
+    out = []
+    for f in range(1, tuples + 1):
+        x = mix(f * 0xA0761D6478BD642F & M)
+        mask, mult = x >> 32, (x & 0xFFFFFFFF) | 1
+        least = sorted(range(len(elements)), key=lambda i: ((((elements[i] >> 32) ^ mask) * mult) & 0xFFFFFFFF, i))[:chosen]
+        h = 0x5851F42D4C957F2D
+        for i in [*sorted(least), *[None] * (chosen - len(least))]:
+            h = mix((h + (elements[i] if i is not None else 0)) & M)
+        out.append(h >> 48)
+    return out
+
+
+def test_order_minhash_by_hand(docs, spark):
+    """Fingerprints, edits and likeness against plain Python, with long words, repeated and null ids and wholly equal rows."""
+    rng = np.random.default_rng(3)
+    texts = ["中文" * 40, "x" * 50, "".join(rng.choice(list("abcdefgh"), 300)), "a b " * 30, "one " + "y" * 17 + " two", " lead", "é " * 9]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, t) for t in texts[:3]] + [(None, texts[2]), (200, "same same")] + [(200, "same same")] * 5
+    for df in (docs, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame([(1, "alone here")], "doc_id bigint, text string")):
+        rows = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+        rows = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+        want = []
+        for i, r in enumerate(rows):
+            t, n = r.text or "", rows[(i + 1) % len(rows)].text or ""
+            half = len(t) // 2
+            e = t[: len(t) - half] + n[:half]
+            a, b, c = map(plain_sketch, (t, e, n))
+            text = lambda x: "0" * 256 if x is None else "".join(f"{v:04x}" for v in x)
+            near = lambda x, y: float(x is y) if x is None or y is None else sum(p == q for p, q in zip(x, y)) / 64
+            want.append((r.doc_id, len(t), hashlib.sha256(e.encode()).hexdigest(), text(a), text(b), near(a, b), near(a, c)))
+        got = order_minhash.fingerprint_edits(df, parts=3).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_likeness_without_white_space():
+    """Edits in a text without white space leave most of the fingerprint as it is."""
+    rng = np.random.default_rng(5)
+    text = "".join(rng.choice(list("的一是不了人我在有他这中大来上个国"), 3000))
+    edited = text
+    for at in range(100, 2900, 200):  # a letter changed, one put in, one taken out
+        edited = edited[:at] + "新" + edited[at + 1 : at + 50] + "好" + edited[at + 50 : at + 80] + edited[at + 81 :]
+    a, b = order_minhash.sketch(text), order_minhash.sketch(edited)
+    assert 1 > order_minhash.likeness(a, b) > 0.7
+    assert order_minhash.likeness(a, order_minhash.sketch(text[1500:] + text[:1500])) < order_minhash.likeness(a, b)
+
+
+def test_very_long_texts(spark):
+    """Texts of some megabytes through every operator on documents."""
+    words = "".join(f"w{i % 5003} " for i in range(300_000))
+    df = spark.createDataFrame([(1, words), (2, words + "end")], "doc_id bigint, text string")
+    assert bpe.round_trip(df, vocabulary()).agg({"n_tokens": "min"}).first()[0] > 300_000
+    assert token_files.round_trip(df, vocabulary()).count() == 2
+    assert order_minhash.fingerprint_edits(df).filter("near_next > 0.9").count() == 2
+    assert packing.pack_documents(df, vocabulary()).count() > 100
+    assert simhash.near_duplicates(df).select("component_id").distinct().count() == 1
+    assert secret_scan.scan(df).count() == 2
