@@ -39,6 +39,17 @@ class GridArray:
         """The same cells with another value."""
         return replace(self, df=self.df.select(*self.index, v.alias("v")), sparse=self.sparse if sparse is None else sparse)
 
+    def dense(self) -> GridArray:
+        """The array with a cell for each zero: one join with the grid of indices."""
+        if not self.sparse:
+            return self
+        from gridloom.sources import arrays
+
+        kind = dict(self.df.dtypes)["v"]
+        grid = arrays.zeros(self.df.sparkSession, self.shape, kind).df.select(*self.index)
+        joined = grid.join(self.df, self.index, "left") if self.index else grid
+        return GridArray(joined.select(*self.index, F.coalesce("v", F.lit(0).cast(kind)).alias("v")), self.shape)
+
     def small(self) -> DataFrame:
         """The cells, marked for broadcast if the shape bounds them."""
         return F.broadcast(self.df) if self.cells <= BROADCAST_CELLS else self.df
@@ -54,10 +65,14 @@ class GridArray:
         return elementwise.subtract(self, other)
 
     def __mul__(self, s):
-        return self.values(F.col("v") * s)
+        from gridloom.operators import elementwise
+
+        return elementwise.broadcast(lambda x, y: x * y, self, s)
 
     def __truediv__(self, s):
-        return self.values(F.col("v") / s)
+        from gridloom.operators import elementwise
+
+        return elementwise.broadcast(lambda x, y: x / y, self, s)
 
     def __matmul__(self, other):
         from gridloom.operators import linalg

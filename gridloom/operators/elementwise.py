@@ -23,6 +23,8 @@ def broadcast(f: Callable[..., Column], *operands) -> GridArray:
 
     A stretched operand joins on its other dimensions alone, so a vector meets
     a matrix in one equi-join, broadcast where the vector's shape bounds it.
+    Sparse operands stay sparse where all arrays are sparse and of one shape and
+    ``f`` of their zeros is 0; else their zeros become cells first.
     """
     arrays = [x for x in operands if isinstance(x, GridArray)]
     if not arrays:
@@ -34,6 +36,10 @@ def broadcast(f: Callable[..., Column], *operands) -> GridArray:
         if len(sizes) > 1:
             raise ValueError(f"sizes {sorted(sizes)} meet in dimension {k}")
         shape.append(sizes.pop() if sizes else 1)
+    alike = all(a.sparse and a.shape == tuple(shape) for a in arrays)
+    if any(a.sparse for a in arrays) and not (alike and _keeps_zero(f, operands)):
+        operands = [x.dense() if isinstance(x, GridArray) else x for x in operands]
+        arrays = [x for x in operands if isinstance(x, GridArray)]
     if len(arrays) == 1 and arrays[0].shape == tuple(shape):
         return arrays[0].values(f(*[F.col("v") if isinstance(x, GridArray) else F.lit(x) for x in operands]))
     axes = lambda a: [k for k in range(a.ndim) if a.shape[k] != 1 or shape[k] == 1]
@@ -59,19 +65,29 @@ def broadcast(f: Callable[..., Column], *operands) -> GridArray:
     return GridArray(joined.select(*index, out.alias("v")), tuple(shape), sparse)
 
 
+def _keeps_zero(f: Callable[..., Column], operands) -> bool:
+    """Whether ``f`` of the arrays' zeros is 0: one constant expression, asked of the optimiser by a table of one row."""
+    spark = next(x for x in operands if isinstance(x, GridArray)).df.sparkSession
+    zeros = [F.lit(0).cast(dict(x.df.dtypes)["v"]) if isinstance(x, GridArray) else F.lit(x) for x in operands]
+    return bool(spark.range(1).select((f(*zeros) == 0).alias("z")).first()[0])
+
+
 def add(a: GridArray, b) -> GridArray:
-    return map_cells(lambda x, y: x + y, a, b) if isinstance(b, GridArray) else a.values(F.col("v") + b)
+    return map_cells(lambda x, y: x + y, a, b) if isinstance(b, GridArray) else broadcast(lambda x, y: x + y, a, b)
 
 
 def subtract(a: GridArray, b) -> GridArray:
-    return map_cells(lambda x, y: x - y, a, b) if isinstance(b, GridArray) else a.values(F.col("v") - b)
+    return map_cells(lambda x, y: x - y, a, b) if isinstance(b, GridArray) else broadcast(lambda x, y: x - y, a, b)
 
 
 def scale_rows(d: GridArray, x: GridArray) -> GridArray:
     """A diagonal matrix, given as a vector, times a matrix."""
     if d.shape != x.shape[:1]:
         raise ValueError(f"a diagonal of {d.shape} can't scale {x.shape}")
-    return broadcast(lambda s, v: s * v, GridArray(d.df, d.shape, d.sparse), x)
+    if x.sparse or d.sparse:  # a zero stays zero, whatever scales it
+        met = x.df.join(GridArray(d.small(), d.shape).df.withColumnRenamed("v", "s"), "i0")
+        return GridArray(met.select(*x.index, (F.col("s") * F.col("v")).alias("v")), x.shape, True)
+    return broadcast(lambda s, v: s * v, d, x)
 
 
 def equal(a: GridArray, b: GridArray, tolerance: float = 0.0):
@@ -82,3 +98,28 @@ def equal(a: GridArray, b: GridArray, tolerance: float = 0.0):
     x, y = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
     same = x.eqNullSafe(y) if tolerance == 0 else F.abs(x - y) <= tolerance
     return joined.agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("equal"))
+
+
+def map_tiles(f: Callable, a: GridArray, block: tuple[int, ...]) -> GridArray:
+    """``f`` over the array's tiles as NumPy arrays; a tile's result has the tile's shape.  A task holds one tile."""
+    import pandas as pd
+
+    from gridloom.sources import arrays
+
+    index, shape = a.index, a.shape
+
+    def run(key, pdf):
+        import numpy as np
+
+        lo = [int(b) * n for b, n in zip(key, block)]
+        x = np.zeros([min(n, size - at) for at, n, size in zip(lo, block, shape)])
+        x[tuple(pdf[c].to_numpy() - at for c, at in zip(index, lo))] = pdf["v"]
+        y = np.asarray(f(x), float)
+        if y.shape != x.shape:
+            raise ValueError(f"a tile of {x.shape} became one of {y.shape}")
+        at = np.indices(y.shape).reshape(y.ndim, -1)
+        return pd.DataFrame({c: at[k] + lo[k] for k, c in enumerate(index)} | {"v": y.ravel()})
+
+    keyed = arrays.tiles(a.dense(), block)
+    made = keyed.groupBy(*[f"b{k}" for k in range(a.ndim)]).applyInPandas(run, ", ".join(f"{c} bigint" for c in index) + ", v double")
+    return GridArray(made, shape)

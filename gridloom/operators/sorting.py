@@ -27,6 +27,7 @@ def sort(a: GridArray, by=None, reverse: bool = False) -> GridArray:
     """A vector in order of ``by(v)``; equal keys keep their order, so the sort is stable."""
     if a.ndim != 1:
         raise ValueError("only vectors are sorted")
+    a = a.dense()
     key = F.col("v") if by is None else by(F.col("v"))
     done = dense_positions(a.df.withColumn("_k", key), [F.desc("_k") if reverse else F.asc("_k"), F.asc("i0")])
     return GridArray(done.select(F.col("position").alias("i0"), "v"), a.shape)

@@ -39,7 +39,7 @@ def wrap() -> Boundary:
 
 
 def pad(x: float = 0.0) -> Boundary:
-    return Boundary(lambda p, n: ([(0, 0.0)], x))
+    return Boundary(lambda p, n: ([], x))
 
 
 def clamp() -> Boundary:
@@ -78,8 +78,19 @@ def extend(a: GridArray, distance: tuple[int, ...], boundaries: tuple[Boundary,
         if not 0 < d <= n:
             raise ValueError(f"distance {d} in a dimension of {n} cells")
         outside = [*range(-d, 0), *range(n, n + d)]
-        rows = [(s, p, c, x) for p in outside for pairs, x in [rule.sources(p, n)] for s, c in pairs]
-        df = df.union(_halo(a, df, k, rows)) if not (rule.first_only and k) else df.union(_halo(a, df.filter(_within(a, k)), k, rows)).union(_halo(a, df.filter(~_within(a, k)), k, [(_clamp(p, n), p, 1.0, 0.0) for p in outside]))
+        made = {p: rule.sources(p, n) for p in outside}
+        rows = [(s, p, c, x) for p, (pairs, x) in made.items() for s, c in pairs]
+        constants = [(p, x) for p, (pairs, x) in made.items() if not pairs]
+        inner = df
+        if rule.first_only and k:
+            df = df.union(_halo(a, inner.filter(_within(a, k)), k, rows)).union(_halo(a, inner.filter(~_within(a, k)), k, [(_clamp(p, n), p, 1.0, 0.0) for p in outside]))
+        elif rows:
+            df = df.union(_halo(a, inner, k, rows))
+        if constants:
+            # One line of cells at index 0, without its values, is where constants stand.
+            table = F.broadcast(df.sparkSession.createDataFrame(constants, "p bigint, x double"))
+            line = inner.filter(F.col(f"i{k}") == 0).drop("v", f"i{k}").crossJoin(table)  # 2 * distance rows a cell of the line
+            df = df.union(line.select(*[F.col("p").alias(c) if c == f"i{k}" else F.col(c) for c in a.index], F.col("x").cast(dict(a.df.dtypes)["v"]).alias("v")))
     return df
 
 
@@ -97,7 +108,8 @@ def _halo(a: GridArray, df: DataFrame, k: int, rows: list[tuple]) -> DataFrame:
     met = df.filter(F.col(f"i{k}").isin([r[0] for r in rows])).join(table, f"i{k}")
     others = [c for c in a.index if c != f"i{k}"]
     one = max(sum(1 for r in rows if r[1] == p) for p in {r[1] for r in rows}) == 1
-    term = F.col("v") * F.col("c") + F.col("x")
+    # A value that is only copied keeps its type's digits and its infinity.
+    term = F.when((F.col("c") == 1) & (F.col("x") == 0), F.col("v")) if all(r[2:] == (1.0, 0.0) for r in rows) else F.when((F.col("c") == -1) & (F.col("x") == 0), -F.col("v")) if all(r[2:] == (-1.0, 0.0) for r in rows) else F.col("v") * F.col("c") + F.col("x")
     if one:
         made = met.select(*others, F.col("p").alias(f"i{k}"), term.alias("v"))
     else:
@@ -111,6 +123,7 @@ def neighbours(a: GridArray, distance, boundaries, fold="sum", f: Callable[[Colu
     ``fold`` is sum, prod, min, max, mean, or a function of the array of
     neighbours' values in row-major order of their offsets.
     """
+    a = a.dense()
     distance = (distance,) * a.ndim if isinstance(distance, int) else tuple(distance)
     boundaries = (boundaries,) * a.ndim if isinstance(boundaries, Boundary) else tuple(boundaries)
     full = extend(a, distance, boundaries)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextvars
 import threading
+import time
 import uuid
 from collections.abc import Callable
 from concurrent import futures
@@ -14,13 +15,26 @@ from pyspark.sql import DataFrame, SparkSession
 _options: contextvars.ContextVar[dict] = contextvars.ContextVar("gridloom_options", default={})
 
 
+_current: contextvars.ContextVar[Task | None] = contextvars.ContextVar("gridloom_task", default=None)
+
+
+def current_task() -> Task | None:
+    """The task that this code runs in."""
+    return _current.get()
+
+
 class TaskFailed(RuntimeError):
     """A task failed, or one that it needs did; the cause is the root."""
 
 
 @contextmanager
 def with_options(**values):
-    """Options that tasks spawned inside see, at any depth."""
+    """Options that tasks spawned inside see, at any depth.
+
+    ``pool`` is the fair scheduler's pool and ``description`` the text of the
+    task's Spark jobs, and ``tags`` are tags of theirs; other options are for the
+    tasks to read.
+    """
     token = _options.set(_options.get() | values)
     try:
         yield
@@ -50,12 +64,24 @@ class Task:
             raise TaskFailed("a task that this one needs failed") from root(e)
         if self.cancelled.is_set():
             raise TaskFailed("cancelled")
-        spark = self.pool.spark
-        spark.addTag(self.tag)
+        spark, options = self.pool.spark, get_options()
+        tags = [self.tag, *options.get("tags", ())]
+        local = {"spark.scheduler.pool": options.get("pool"), "spark.job.description": options.get("description")}
+        for t in tags:
+            spark.sparkContext.addJobTag(t)
+        for key, value in local.items():
+            spark.sparkContext.setLocalProperty(key, value)
+        token = _current.set(self)
+        self.pool.log("start", self)
         try:
             return f(*args, **kwargs)
         finally:
-            spark.removeTag(self.tag)
+            self.pool.log("end", self)
+            _current.reset(token)
+            for key in local:
+                spark.sparkContext.setLocalProperty(key, None)
+            for t in tags:
+                spark.sparkContext.removeJobTag(t)
 
     def fetch(self, timeout: float | None = None):
         try:
@@ -72,7 +98,7 @@ class Task:
     def cancel(self) -> None:
         self.cancelled.set()
         self.future.cancel()
-        self.pool.spark.interruptTag(self.tag)
+        self.pool.spark.sparkContext.cancelJobsWithTag(self.tag)
 
 
 def root(e: BaseException) -> BaseException:
@@ -86,9 +112,15 @@ class Tasks:
 
     def __init__(self, spark: SparkSession, width: int = 8):
         self.spark, self.threads, self.all = spark, futures.ThreadPoolExecutor(width), []
+        #: ``(seconds, event, tag)`` of each task's spawn, start and end.
+        self.events: list[tuple[float, str, str]] = []
+
+    def log(self, event: str, task: Task) -> None:
+        self.events.append((time.monotonic(), event, task.tag))
 
     def spawn(self, f: Callable, *args, **kwargs) -> Task:
         task = Task(self, f, args, kwargs)
+        self.log("spawn", task)
         self.all.append(task)
         return task
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.model import GridArray
 from gridloom.operators import elementwise, fourier, indexing, linalg, reduce, reshape, sorting, stencil, tables
 from gridloom.plans import tasks
-from gridloom.plans.durable import fresh_path
+from gridloom.plans.durable import fresh_path, materialize
 from gridloom.sources import arrays
 from gridloom.streaming import region
 
@@ -108,7 +108,7 @@ def _(s, d):
 
 @query("fold_dims2", W + "select i0, 0::bigint as i1, round(sum(abs(v)), 5) + 0.0 as v from e group by i0")
 def _(s, d):
-    return rounded(reduce.fold(matrix(s, d), lambda a, x: a + F.abs(x), 0.0, (1,)))
+    return rounded(reduce.fold(matrix(s, d), lambda a, x: a + x, 0.0, (1,), F.abs))
 
 
 @query("norm_upper", W + "select round(sqrt(sum(v * v)), 5) + 0.0 as v from e where i0 <= i1")
@@ -116,9 +116,11 @@ def _(s, d):
     return rounded(reduce.reduce(reduce.triangle(matrix(s, d)), "norm"))
 
 
-@query("is_symmetric", "select true as equal")
+@query("is_symmetric", "select * from (values ('gram', true), ('changed', false)) t(k, equal)")
 def _(s, d):
-    return reduce.is_symmetric(gram(s, d), 1e-9)
+    g = gram(s, d)
+    changed = indexing.set_value(g, [(3, 4), (5, 6)], -1.0)
+    return reduce.is_symmetric(g, 1e-9).select(F.lit("gram").alias("k"), "equal").union(reduce.is_symmetric(changed, 1e-9).select(F.lit("changed"), "equal"))
 
 
 @query("is_finite", "select bool_and(isfinite(value)) as finite from events")
@@ -176,10 +178,12 @@ def _(s, d):
     return rounded(elementwise.scale_rows(arrays.allocate(s, a.shape[:1], lambda i: F.col(i[0]) + 1.0), a), 4)
 
 
-@query("eq_all", "select true as equal")
+@query("eq_all", "select * from (values ('same', true), ('changed', false), ('near', true)) t(k, equal)")
 def _(s, d):
     a = matrix(s, d)
-    return elementwise.equal(a, a.T.T)
+    named = lambda k, x: x.select(F.lit(k).alias("k"), "equal")
+    changed = indexing.set_value(a, [(7, 8), (9, 10)], 1e6)
+    return named("same", elementwise.equal(a, a.T.T)).union(named("changed", elementwise.equal(a, changed))).union(named("near", elementwise.equal(a, a + 1e-9, 1e-6)))
 
 
 @query("alloc_zeros_ones", "select count(*) as n, 1200.0 as total from range(1200)")
@@ -208,9 +212,11 @@ def _(s, d):
     return arrays.tiles(matrix(s, d), (100, 16)).groupBy("b0", "b1").agg((F.round(F.sum("v"), 5) + 0.0).alias("v"))
 
 
-@query("assign_tiles", W + "select (i0 // 100)::int as b0, count(*) as n from e group by 1")
+@query("assign_tiles", W + "select (i0 // 10)::int as b0, ((i0 // 10) % 4)::int as part, count(*) as n from e group by 1, 2")
 def _(s, d):
-    return arrays.assign(matrix(s, d), (100, 16), "cyclicrow", 4).groupBy("b0").agg(F.count("*").alias("n"))
+    """Rows of tiles in turn over four partitions: where each row of tiles lies."""
+    placed = arrays.assign(matrix(s, d), (10, 16), "cyclicrow", 4).withColumn("part", F.spark_partition_id())
+    return placed.groupBy("b0", "part").agg(F.count("*").alias("n"))
 
 
 @query("save_load", W + "select i0, i1, round(v, 5) + 0.0 as v from e")
@@ -394,80 +400,142 @@ def _(s, d):
     return rounded(linalg.matmul(a.T, a), 2)
 
 
-def _residual(a: GridArray, b: GridArray, name: str, limit: float) -> DataFrame:
-    """Whether two matrices agree relative to the first's largest cell."""
-    scale = a.df.agg(F.max(F.abs("v")).alias("top"))
-    worst = a.df.withColumnRenamed("v", "x").join(b.df, a.index, "full").agg(F.max(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("v", F.lit(0.0)))).alias("off"))
-    return worst.crossJoin(scale).select(F.lit(name).alias("name"), (F.col("off") <= limit * F.col("top")).alias("ok"))  # one row each
+def _kinds(**parts: DataFrame) -> DataFrame:
+    """Cells ``i0, i1, v`` of several matrices, each under its name."""
+    out = None
+    for name, df in parts.items():
+        own = df.select(F.lit(name).alias("kind"), "i0", "i1", "v")
+        out = own if out is None else out.union(own)
+    return out
+
+
+def _column(a: GridArray) -> DataFrame:
+    """A matrix's first column, rounded."""
+    return rounded(GridArray(a.df.filter("i1 = 0"), a.shape))
+
+
+SPD_ = P2 + ", g as (select i0, i1, v + (i0 = i1)::int as v from p)"
+ONE_ = "select a.range as i0, b.range as i1, (a.range = b.range)::int::double as v from range(64) a, range(64) b"
+X0_ = "select range as i0, round(1.0 / (1.3::double + range), 4) as v from range(64)"
 
 
-def _ok(name: str) -> str:
-    return f"select '{name}' as name, true as ok"
+def _x0(s: SparkSession) -> GridArray:
+    """What the solvers are to find: 1 / 1.3, 1 / 2.3, 1 / 3.3, ..., none of which ends in a 5 where it is rounded."""
+    return arrays.allocate(s, (64,), lambda i: 1.0 / (1.3 + F.col(i[0])))
 
 
-@query("cholesky_residual", _ok("cholesky"))
+@query("cholesky_residual", W + SPD_ + ", h as (select sqrt(v) as h from g where i0 = 0 and i1 = 0) select 'product' as kind, i0, i1, round(v, 4) + 0.0 as v from g union all select 'first', i0, 0::bigint, round(v / h, 5) + 0.0 from g, h where i1 = 0")
 def _(s, d):
-    a = spd(s, d)
-    f = linalg.cholesky(a)
-    return _residual(a, linalg.matmul(f, f.T), "cholesky", 1e-9)
+    """The factor times its transpose, and the factor's first column; three panels."""
+    f = linalg.cholesky(spd(s, d), block=24)
+    return _kinds(product=rounded(linalg.matmul(f, f.T), 4), first=_column(f))
 
 
-@query("lu_residual", _ok("lu"))
+@query("lu_residual", W + SPD_ + " select 'product' as kind, i0, i1, round(v, 4) + 0.0 as v from g union all select 'large', 0, 0, 0.0")
 def _(s, d):
-    a = spd(s, d)
-    low, up, order = linalg.lu(a)
-    moved = a.df.join(order.df.select(F.col("v").cast("bigint").alias("i0"), F.col("i0").alias("p")), "i0").select(F.col("p").alias("i0"), "i1", "v")
-    return _residual(GridArray(moved, a.shape), linalg.matmul(low, up), "lu", 1e-9)
+    """The factors' product, its rows put back in their order, and how many multipliers are over 1."""
+    low, up, order = linalg.lu(spd(s, d), block=24)
+    product = linalg.matmul(low, up).df.join(order.df.select("i0", F.col("v").cast("bigint").alias("r")), "i0").select(F.col("r").alias("i0"), "i1", "v")
+    large = low.df.agg(F.lit(0).cast("bigint").alias("i0"), F.lit(0).cast("bigint").alias("i1"), F.count_if(F.abs("v") > 1 + 1e-9).cast("double").alias("v"))
+    return _kinds(product=rounded(GridArray(product, (64, 64)), 4), large=large)
 
 
-@query("qr_residual", _ok("qr"))
+@query("lu_plain", W + SPD_ + " select 'product' as kind, i0, i1, round(v, 4) + 0.0 as v from g union all select 'first', i0, 0::bigint, round(g.v / h.v, 5) + 0.0 from g, (select v from g where i0 = 0 and i1 = 0) h where i1 = 0")
 def _(s, d):
-    a = matrix(s, d)
-    q, r = linalg.qr(a)
-    return _residual(a, linalg.matmul(q, r), "qr", 1e-7)
+    """Without exchange of rows: the product, and the lower factor's first column."""
+    low, up, _ = linalg.lu(spd(s, d), pivot=False, block=24)
+    return _kinds(product=rounded(linalg.matmul(low, up), 4), first=_column(low))
+
+
+@query("qr_residual", W + f"select 'product' as kind, i0, i1, round(v, 4) + 0.0 as v from e union all select 'gram', i0, i1, v from ({ONE_}) union all select 'first', i0, 0, round(v / (select sqrt(sum(v * v)) from e where i1 = 0), 5) + 0.0 from e where i1 = 0")
+def _(s, d):
+    """The factors' product, that q's columns are orthonormal, and its first column."""
+    q, r = linalg.qr(matrix(s, d))
+    q = GridArray(materialize(q.df, "q"), q.shape)
+    return _kinds(product=rounded(linalg.matmul(q, r), 4), gram=rounded(linalg.syrk(q)), first=_column(q))
 
 
-@query("svdvals", _ok("svd"))
+@query("svdvals", W + P2 + f"select 'product' as kind, i0, i1, round(v, 4) + 0.0 as v from e union all select 'left', i0, i1, v from ({ONE_}) union all select 'right', i0, i1, v from ({ONE_}) union all select 'squares', i0, i1, round(v, 3) + 0.0 from p union all select 'ascents', 0, 0, 0.0")
 def _(s, d):
-    """Squares of the singular values sum up to the squared norm, and they descend."""
+    """The factors' product, that both are orthonormal, the squares of the values by the right factor, and how often the values ascend."""
     a = matrix(s, d)
-    values = linalg.svd(a)[1]
-    total = reduce.reduce(a, "sum", f=lambda v: v * v).df.select(F.col("v").alias("t"))
-    got = values.df.agg(F.sum(F.col("v") * F.col("v")).alias("q"), F.transform(F.array_sort(F.collect_list(F.struct("i0", "v"))), lambda x: x["v"]).alias("l"))
-    return got.crossJoin(total).select(F.lit("svd").alias("name"), ((F.abs(F.col("q") - F.col("t")) < 1e-6 * F.col("t")) & (F.sort_array("l", False) == F.col("l"))).alias("ok"))
+    u, values, vt = linalg.svd(a)
+    scaled = elementwise.scale_rows(values, vt)
+    pairs = values.df.alias("a").join(values.df.alias("b"), F.expr("a.i0 + 1 = b.i0"))
+    ascents = pairs.agg(F.lit(0).cast("bigint").alias("i0"), F.lit(0).cast("bigint").alias("i1"), F.count_if(F.expr("b.v > a.v")).cast("double").alias("v"))
+    return _kinds(product=rounded(linalg.matmul(u, scaled), 4), left=rounded(linalg.syrk(u)), right=rounded(linalg.syrk(vt, outer=True)), squares=rounded(linalg.syrk(scaled), 3), ascents=ascents)
 
 
-@query("solve_residual", _ok("solve"))
+@query("solve_residual", X0_)
 def _(s, d):
     a = spd(s, d)
-    b = arrays.ones(s, (64,))
-    x = linalg.solve(a, b, "cholesky")
-    return _residual(b, linalg.matmul(a, x), "solve", 1e-6)
+    return rounded(linalg.solve(a, linalg.matmul(a, _x0(s)), "cholesky"), 4)
+
+
+@query("solve_lu", X0_)
+def _(s, d):
+    """A matrix that is not symmetric, by LU."""
+    a = elementwise.scale_rows(arrays.allocate(s, (64,), lambda i: 1.0 + F.col(i[0])), spd(s, d))
+    return rounded(linalg.solve(a, linalg.matmul(a, _x0(s))), 4)
+
+
+@query("triangular_solves", "select kind, i0, round(1.0 / (1.3::double + i0), 4) as v from (select range as i0 from range(64)), (values ('upper N'), ('upper T'), ('lower N'), ('lower T'), ('right')) k(kind)")
+def _(s, d):
+    """Upper and lower triangles, plain and transposed, from the left, and one from the right; blocks of 24 rows."""
+    a, x = spd(s, d), _x0(s)
+    out = None
+    for kind, upper, op in (("upper N", True, "N"), ("upper T", True, "T"), ("lower N", False, "N"), ("lower T", False, "T")):
+        t = reduce.triangle(a, upper)
+        found = linalg.triangular_solve(a, linalg.matmul(t.T if op == "T" else t, x), upper, op=op, block=24)
+        own = rounded(found, 4).select(F.lit(kind).alias("kind"), "i0", "v")
+        out = own if out is None else out.union(own)
+    row = GridArray(x.df.select(F.lit(0).cast("bigint").alias("i0"), F.col("i0").alias("i1"), "v"), (1, 64))
+    found = linalg.triangular_solve(a, linalg.matmul(row, reduce.triangle(a)), True, "right", block=24)
+    return out.union(rounded(found, 4).select(F.lit("right"), F.col("i1").alias("i0"), "v"))
+
+
+@query("least_squares", W + "select i1 as i0, round(sum(v * sin(i0)), 4) + 0.0 as v from e group by 1")
+def _(s, d):
+    """The residual of a tall system is orthogonal to its columns: a.T @ a @ x is a.T @ b."""
+    a = matrix(s, d)
+    x = linalg.solve(a, arrays.allocate(s, a.shape[:1], lambda i: F.sin(F.col(i[0]).cast("double"))))
+    return rounded(linalg.matmul(a.T, linalg.matmul(a, x)), 4)
 
 
-@query("least_squares", _ok("lstsq"))
+@query("least_norm", W + ", r as (select e.i0, sum(e.v / (1.3::double + e.i1)) as v from e where i0 < 16 group by 1) select i0, round(v, 4) + 0.0 as v from r")
 def _(s, d):
-    """The residual of a tall system is orthogonal to its columns."""
+    """A wide system, of all columns and sixteen rows, has its right side met."""
     a = matrix(s, d)
-    b = arrays.rand(s, a.shape[:1], 4)
-    left = linalg.matmul(a.T, linalg.matmul(a, linalg.solve(a, b)))
-    return _residual(linalg.matmul(a.T, b), left, "lstsq", 1e-6)
+    wide = GridArray(materialize(indexing.take(a, slice(0, 16), slice(None)).df, "wide"), (16, 64))
+    x = linalg.solve(wide, linalg.matmul(wide, _x0(s)))
+    return rounded(linalg.matmul(wide, x), 4)
 
 
-@query("inverse_residual", _ok("inverse"))
+@query("inverse_residual", ONE_)
 def _(s, d):
     a = spd(s, d)
-    return _residual(arrays.eye(s, 64), linalg.matmul(a, linalg.inverse(a)), "inverse", 1e-6)
+    return rounded(linalg.matmul(linalg.inverse(a), a))
 
 
-@query("cg_residual", _ok("cg"))
+@query("cg_residual", X0_)
 def _(s, d):
-    """Conjugate gradients on a one-dimensional Laplacian."""
-    n = 64
-    cells = s.range(n).select(F.col("id").alias("i0"), F.explode(F.array(F.struct((F.col("id") - 1).alias("j"), F.lit(-1.0).alias("v")), F.struct(F.col("id").alias("j"), F.lit(6.0).alias("v")), F.struct((F.col("id") + 1).alias("j"), F.lit(-1.0).alias("v")))).alias("x"))
-    a = GridArray(cells.select("i0", F.col("x.j").alias("i1"), F.col("x.v").alias("v")).filter(F.col("i1").between(0, n - 1)), (n, n), True)
-    b = arrays.ones(s, (n,))
-    return _residual(b, linalg.matmul(a, linalg.conjugate_gradient(a, b, 1e-4)), "cg", 1e-3)
+    """Conjugate gradients on the Gram matrix with its height on the diagonal."""
+    a, g = matrix(s, d), gram(s, d)
+    g = g.values(F.col("v") + F.when(F.col("i0") == F.col("i1"), float(a.shape[0])).otherwise(0.0))
+    g = GridArray(materialize(g.df, "spd"), g.shape)
+    return rounded(linalg.conjugate_gradient(g, linalg.matmul(g, _x0(s)), 1e-9), 4)
+
+
+@query("gemm_tn", W + P2 + " select i0, i1, round(1.5 * v, 4) + 0.0 as v from p")
+def _(s, d):
+    """2 * a.T @ a - 0.5 * c with c = a.T @ a."""
+    a = matrix(s, d)
+    return rounded(linalg.multiply_into(gram(s, d), a, a, 2.0, -0.5, "TN"), 4)
+
+
+@query("power0", ONE_)
+def _(s, d):
+    return linalg.power(gram(s, d), 0).dense().df
 
 
 @query("fft_parseval", f"with {X_} select round(sum(v * v), 2) as energy from x")
@@ -476,6 +544,31 @@ def _(s, d):
     return fourier.transform(fourier.complex_cells(a), a.shape).agg(F.round(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / a.cells, 2).alias("energy"))
 
 
+@query("fft_coefficients", f"with {X_}, {N_}, k as (select range as k from range(8)) select k as i0, round(sum(v * cos(2 * pi() * k * i0 / n)), 3) + 0.0 as re, round(-sum(v * sin(2 * pi() * k * i0 / n)), 3) + 0.0 as im from x, n, k group by 1")
+def _(s, d):
+    """The first coefficients of the whole vector's transform; lines of 4096 cells a task, so it is laid out as a matrix or a convolution."""
+    a = vector(s, d)
+    made = fourier.transform(fourier.complex_cells(a), a.shape, line_cells=4096)
+    return made.filter("i0 < 8").select("i0", (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im"))
+
+
+@query("fft2_coefficients", W + ", m as (select count(*) as m from embeddings), k as (select a.range as p, b.range as q from range(4) a, range(4) b) select p as i0, q as i1, round(sum(v * cos(2 * pi() * (p * i0 / m + q * i1 / 64))), 3) + 0.0 as re, round(-sum(v * sin(2 * pi() * (p * i0 / m + q * i1 / 64))), 3) + 0.0 as im from e, m, k group by 1, 2")
+def _(s, d):
+    """The corner coefficients of the whole matrix's transform."""
+    a = matrix(s, d)
+    made = fourier.transform(fourier.complex_cells(a), a.shape)
+    return made.filter("i0 < 4 and i1 < 4").select("i0", "i1", (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im"))
+
+
+@query("fft3_coefficients", W + ", k as (select a.range as p, b.range as q, c.range as r from range(2) a, range(2) b, range(2) c), m as (select count(*) as m from embeddings) select p as i0, q as i1, r as i2, round(sum(v * cos(2 * pi() * (p * i0 / m + q * (i1 // 8) / 8 + r * (i1 % 8) / 8))), 3) + 0.0 as re, round(-sum(v * sin(2 * pi() * (p * i0 / m + q * (i1 // 8) / 8 + r * (i1 % 8) / 8))), 3) + 0.0 as im from e, m, k group by 1, 2, 3")
+def _(s, d):
+    """The embeddings as a cube of 8 by 8 columns."""
+    a = matrix(s, d)
+    cube = GridArray(a.df.select("i0", F.floor(F.col("i1") / 8).cast("bigint").alias("i1"), (F.col("i1") % 8).alias("i2"), "v"), (a.shape[0], 8, 8))
+    made = fourier.transform(fourier.complex_cells(cube), cube.shape)
+    return made.filter("i0 < 2 and i1 < 2 and i2 < 2").select("i0", "i1", "i2", (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im"))
+
+
 @query("fft2_round_trip", W + "select i0, i1, round(v, 5) + 0.0 as v from e where i0 < 32")
 def _(s, d):
     """The whole matrix there and back; only the result is cut to the rows that the SQL gives."""
@@ -544,38 +637,61 @@ def _(s, d):
     return a.union(b)
 
 
-@query("stream_max_evals", "select 100::bigint as n")
+def _in_order(s: SparkSession, d: str, r: region.Region, files: int = 4) -> DataFrame:
+    """The events as a stream of ``files`` files, one after the other by number, each sorted."""
+    path, df = fresh_path(s, "events"), table(s, d, "events").select(F.col("event_id").alias("seq"), F.col("value").alias("v"))
+    n = df.count()
+    for k in range(files):
+        df.filter(F.floor(F.col("seq") * files / n) == k).coalesce(1).sortWithinPartitions("seq").write.mode("append").parquet(path)
+    return r.source(path, df.schema)
+
+
+@query("stream_max_evals", "select event_id as seq, round(value, 5) as v from events where event_id < 100")
 def _(s, d):
-    return _streamed(s, d, lambda x: x.select("seq", "v"), max_evals=100)[0].agg(F.count("*").alias("n"))
+    """The first hundred rows of the stream, and no more."""
+    r = region.Region(s)
+    with r:
+        path = r.sink(_in_order(s, d, r).select("seq", F.round("v", 5).alias("v")), 100)
+    r.wait()
+    return r.read(path)
 
 
-@query("stream_finish", "select 123 as result")
+@query("stream_finish", f"with {X_}, {N_} select round(sum(v), 3) as result, count(*) as rows, 2 as batches from x, n where floor(i0 * 4 / n) < 2")
 def _(s, d):
-    r, seen = region.Region(s), []
+    """A stage with state that ends its stream once it has half of the rows, with their sum."""
+    r, n = region.Region(s), table(s, d, "events").count()
 
-    def step(batch, number):
-        seen.append(123)
-        return True
+    def step(batch, number, seen):
+        total, rows = batch.agg(F.sum("v"), F.count("*")).first()
+        seen = (seen[0] + (total or 0.0), seen[1] + rows, seen[2] + 1)
+        return region.Finish(seen) if 2 * seen[1] >= n - 4 else seen
 
-    r.each(_events(s, d, r), step)
+    stage = r.each(_in_order(s, d, r), step, (0.0, 0, 0))
     r.wait()
-    return s.createDataFrame([(x,) for x in seen], "result int")
+    return s.createDataFrame([r.result(stage)], "result double, rows bigint, batches int").withColumn("result", F.round("result", 3))
 
 
 @query("stream_window", "select time_bucket(interval '1 day', ts) as day, count(*) as n from events group by 1 having time_bucket(interval '1 day', ts) + interval '1 day' <= (select max(ts) from events)")
 def _(s, d):
-    days = _streamed(s, d, lambda x: region.windowed(x, "ts", "1 day", "60 days", F.count("*").alias("n")))[0]
-    # Windows still open at the end stay in the stream's state; the batch plan gives them.
-    closed = table(s, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 day")).agg(F.count("*").alias("n")).join(days.select("window"), "window", "left_anti")
-    top = table(s, d, "events").agg(F.max("ts").cast("timestamp").alias("top"))
-    return days.union(closed).crossJoin(top).filter("window.end <= top").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
+    """Windows as the stream closes them: a last event, far ahead, moves the watermark past all others; its own window stays open."""
+    r, path = region.Region(s), fresh_path(s, "events")
+    df = table(s, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    df.repartition(4, "seq").write.parquet(path)
+    top = df.agg(F.max("ts").alias("top"))
+    top.select(F.lit(-1).cast("bigint").alias("seq"), (F.col("top") + F.expr("interval 90 days")).alias("ts")).write.mode("append").parquet(path)
+    with r:
+        found = r.sink(region.windowed(r.source(path, df.schema), "ts", "1 day", "60 days", F.count("*").alias("n")))
+    r.wait()
+    return r.read(found).crossJoin(top).filter("window.end <= top").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
 
 
-@query("checkpoint_restore", "select 1::bigint as v")
+@query("checkpoint_restore", "select o_orderstatus as k, count(*) as n from orders group by 1")
 def _(s, d):
+    """The second call finds the first one's table and does not make its own."""
     path = fresh_path(s, "restore")
-    tasks.restore_or_run(s, path, lambda: s.range(1, 2).toDF("v"))
-    return tasks.restore_or_run(s, path, lambda: s.range(5, 6).toDF("v"))
+    made = lambda t, c: lambda: table(s, d, t).groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n"))
+    tasks.restore_or_run(s, path, made("orders", "o_orderstatus"))
+    return tasks.restore_or_run(s, path, made("lineitem", "l_returnflag"))
 
 
 @query("task_graph", "select (select count(*) from orders) + (select count(*) from lineitem) as v")
@@ -583,3 +699,93 @@ def _(s, d):
     pool = tasks.Tasks(s)
     a, b = pool.spawn(lambda: table(s, d, "orders").count()), pool.spawn(lambda: table(s, d, "lineitem").count())
     return s.createDataFrame([(pool.spawn(lambda x, y: x + y, a, b).fetch(),)], "v bigint")
+
+
+@query("task_queues", "select 'bulk' as k, (select count(*) from orders) + (select count(*) from customer) as v union all select 'sequence', 123")
+def _(s, d):
+    """Tasks in bulk run side by side; in a sequence one after the other."""
+    pool, seen = tasks.Tasks(s), []
+    counts = pool.spawn_bulk([(lambda t=t: table(s, d, t).count(),) for t in ("orders", "customer")])
+    pool.spawn_sequential([(seen.append, x) for x in (1, 2, 3)])[-1].fetch()
+    return s.createDataFrame([("bulk", sum(tasks.fetch_all(counts))), ("sequence", int("".join(map(str, seen))))], "k string, v bigint")
+
+
+@query("csv_load", "select n_nationkey, n_name, n_regionkey from nation")
+def _(s, d):
+    path, df = fresh_path(s, "csv"), table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    df.write.option("header", True).csv(path)
+    return arrays.read_table(s, path, "csv", header=True, inferSchema=True).select(*[F.col(c).cast(t).alias(c) for c, t in df.dtypes])
+
+
+@query("distribute", "select i.range as i0, j.range as i1, (i.range * 7 + j.range)::double as v from range(11) i, range(7) j")
+def _(s, d):
+    import numpy as np
+
+    return arrays.from_numpy(s, np.arange(77, dtype=float).reshape(11, 7)).df
+
+
+@query("zeros_like", W + "select i0, i1, 0.0::double as v from e")
+def _(s, d):
+    return arrays.zeros_like(matrix(s, d)).df
+
+
+SP_ = f"{S_}, t as (select max(l_orderkey) + 1 as m, max(l_suppkey) + 1 as n from lineitem)"
+
+
+@query("sparse_rows_min", f"with {SP_} select i0, 0::bigint as i1, round(case when count(*) < any_value(n) then least(min(v), 0) else min(v) end, 4) + 0.0 as v from s, t group by 1")
+def _(s, d):
+    """Absent cells are zeros that count; rows without a cell stay absent."""
+    return rounded(reduce.reduce(sparse(s, d), "min", (1,)), 4)
+
+
+@query("sparse_mean", f"with {SP_} select round(sum(v) / any_value(m * n), 8) + 0.0 as v from s, t")
+def _(s, d):
+    return rounded(reduce.reduce(sparse(s, d), "mean"), 8)
+
+
+@query("sparse_plus_scalar", "select i.range as i0, j.range as i1, (i.range = j.range)::int + 1.5::double as v from range(20) i, range(30) j")
+def _(s, d):
+    return (arrays.eye(s, 20, 30) + 1.5).df
+
+
+@query("sparse_set_block", "select i.range as i0, j.range as i1, case when i.range < 5 and j.range between 2 and 8 then 5.0 else (i.range = j.range)::int end::double as v from range(20) i, range(30) j")
+def _(s, d):
+    return indexing.set_value(arrays.eye(s, 20, 30), [(0, 5), (2, 9)], 5.0).dense().df
+
+
+@query("sparse_stencil", "with g as (select i.range as i0, j.range as i1, (i.range = j.range)::int::double as v from range(20) i, range(30) j), o as (select * from (values (-1), (0), (1)) t(o)) select a.i0, a.i1, max(g.v) - min(g.v) as v from g a, o p, o q, g where g.i0 = least(greatest(a.i0 + p.o, 0), 19) and g.i1 = least(greatest(a.i1 + q.o, 0), 29) group by 1, 2")
+def _(s, d):
+    return stencil.neighbours(arrays.eye(s, 20, 30), 1, stencil.clamp(), fold=lambda v: F.array_max(v) - F.array_min(v)).df
+
+
+@query("st_pad_extremes", f"with {X_}, y as (select i0, case when i0 = 0 then 'inf'::double else v end as v from x) select i0, least(round(coalesce(lag(v) over (order by i0), 0) + v + coalesce(lead(v) over (order by i0), 0), 5) + 0.0, 1e300) as v from y")
+def _(s, d):
+    """A pad beside an infinite cell is the pad."""
+    a = indexing.set_value(vector(s, d), [(0, 1)], float("inf"))
+    return stencil.neighbours(a, 1, stencil.pad(0.0)).df.select("i0", F.least(F.round("v", 5) + 0.0, F.lit(1e300)).alias("v"))
+
+
+@query("st_big_integers", "select event_id as i0, greatest(coalesce(lag(v) over (order by event_id), v), v, coalesce(lead(v) over (order by event_id), v)) as v from (select event_id, 9007199254740993 + event_id * 2 as v from events)")
+def _(s, d):
+    """Integers beyond what a double holds keep their digits in the halo."""
+    a = vector(s, d)
+    big = GridArray(a.df.select("i0", (F.lit(9007199254740993) + F.col("i0") * 2).alias("v")), a.shape)
+    return stencil.neighbours(big, 1, stencil.clamp(), fold="max").df
+
+
+@query("st_custom", f"with {X_}, {N_} select i0, round(coalesce(lag(v) over (order by i0), (select v * 0.5 + 1 from x where i0 = 1)) + v + coalesce(lead(v) over (order by i0), (select y.v * 0.5 + 1 from x y, n where y.i0 = n - 2)), 5) + 0.0 as v from x")
+def _(s, d):
+    """A boundary of one's own: half of the second cell, and one."""
+    own = stencil.Boundary(lambda p, n: ([(1 if p < 0 else n - 2, 0.5)], 1.0))
+    return rounded(stencil.neighbours(vector(s, d), 1, own))
+
+
+@query("copy_into", W + "select i0, i1, round(case when i0 between 4 and 9 and i1 between 2 and 6 then 0 else v end, 5) + 0.0 as v from e")
+def _(s, d):
+    return rounded(indexing.copy_into(matrix(s, d), arrays.zeros(s, (6, 5)), (4, 2)))
+
+
+@query("map_tiles", W + "select i0, i1, round(v - avg(v) over (partition by i0 // 100, i1 // 16), 5) + 0.0 as v from e")
+def _(s, d):
+    """Each tile without its own mean."""
+    return rounded(elementwise.map_tiles(lambda x: x - x.mean(), matrix(s, d), (100, 16)))

@@ -93,14 +93,17 @@ def tiles(a: GridArray, block: tuple[int, ...]) -> DataFrame:
 
 
 def assign(a: GridArray, block: tuple[int, ...], how: str, parts: int) -> DataFrame:
-    """Tiles dealt to partitions by rows or columns of tiles, in blocks or in turn."""
+    """Tiles dealt to ``parts`` partitions by rows or columns of tiles, in equal blocks or in turn; partition k gets what is dealt to k."""
     keyed = a.df.select("*", *[F.floor(F.col(c) / n).cast("int").alias(f"b{k}") for k, (c, n) in enumerate(zip(a.index, block))])
-    kinds = {"blockrow": "b0", "blockcol": "b1", "cyclicrow": "b0", "cycliccol": "b1"}
+    kinds = {"blockrow": 0, "blockcol": 1, "cyclicrow": 0, "cycliccol": 1}
     if how == "arbitrary":
         return keyed.repartition(*[f"b{k}" for k in range(a.ndim)])
     if how not in kinds:
         raise ValueError(f"no assignment {how}")
-    return keyed.repartitionByRange(parts, kinds[how]) if how.startswith("block") else keyed.repartition(parts, F.pmod(F.col(kinds[how]), F.lit(parts)))
+    k = kinds[how]
+    tiles_there = -(-a.shape[k] // block[k])
+    to = F.floor(F.col(f"b{k}") * parts / tiles_there) if how.startswith("block") else F.col(f"b{k}") % parts
+    return keyed.repartitionById(parts, to.cast("int"))
 
 
 def save(a: GridArray, path: str) -> None:
@@ -126,8 +129,16 @@ def read_table(spark: SparkSession, path: str, kind: str, **options) -> DataFram
                     yield from pa.ipc.open_file(pa.BufferReader(content))
 
         files = spark.read.format("binaryFile").load(path).select("content")
+
+        def schema(batches):  # one file's, read by its executor
+            for batch in batches:
+                for content in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([pa.ipc.open_file(pa.BufferReader(content)).schema.serialize().to_pybytes()])], names=["schema"])
+
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        first = files.limit(1).collect()[0].content
-        return files.mapInArrow(rows, from_arrow_schema(pa.ipc.open_file(pa.BufferReader(first)).schema))
+        first = files.limit(1).mapInArrow(schema, "schema binary").first()
+        if first is None:
+            raise FileNotFoundError(f"no file in {path}")
+        return files.mapInArrow(rows, from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(first.schema))))
     return spark.read.format(kind).options(**options).load(path)

@@ -11,12 +11,20 @@ from pyspark.sql import functions as F
 from gridloom.plans.durable import fresh_path
 
 
+@dataclass(frozen=True)
+class Finish:
+    """What a stage returns to end its stream, with the stream's result."""
+
+    value: object = None
+
+
 @dataclass
 class Region:
     """Queries that start together when the region ends and are torn down together.
 
     Sinks are Parquet tables in the shared folder, written once a batch even if
-    a batch is retried.
+    a batch is retried.  With ``teardown`` leaving the region by an error, or a
+    failing or finished query, stops the others.
     """
 
     spark: SparkSession
@@ -25,6 +33,12 @@ class Region:
     waiting: list[tuple[DataFrame, str]] = field(default_factory=list)
     running: list = field(default_factory=list)
     limits: dict[str, int] = field(default_factory=dict)
+    finished: dict[str, Finish] = field(default_factory=dict)
+    state: dict[str, object] = field(default_factory=dict)
+
+    def __post_init__(self):
+        if self.files_per_batch < 1:
+            raise ValueError("files_per_batch must be positive")
 
     def __enter__(self) -> Region:
         return self
@@ -32,10 +46,12 @@ class Region:
     def __exit__(self, kind, *_) -> None:
         if kind is None:
             self.start()
+        elif self.teardown:
+            self.stop()
 
     def source(self, path: str, schema) -> DataFrame:
         """A stream of a folder's Parquet files; the files a batch are the back-pressure."""
-        return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, self.files_per_batch)).parquet(path)
+        return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(path)
 
     def sink(self, stream: DataFrame, max_evals: int | None = None) -> str:
         """The path at which the stream's rows will be; at most ``max_evals`` of them."""
@@ -54,25 +70,46 @@ class Region:
             self.running.append(writer.trigger(availableNow=True).start())
         self.waiting = []
 
-    def each(self, stream: DataFrame, f: Callable[[DataFrame, int], bool]) -> None:
-        """Call ``f(batch, number)`` on the driver for every batch, until it returns True."""
-        done = {"now": False}
+    def each(self, stream: DataFrame, f: Callable, state: object = None) -> str:
+        """Call ``f(batch, number)`` on the driver for every batch, until it returns True or a :class:`Finish`; the stage's name.
+
+        With a ``state`` it is ``f(batch, number, state)``, and what a call returns
+        beside a Finish is the next call's state.
+        """
+        where = fresh_path(self.spark, "stream")
+        self.state[where] = state
 
         def step(batch: DataFrame, number: int) -> None:
-            if not done["now"]:
-                done["now"] = bool(f(batch, number))
+            if where in self.finished:
+                return
+            found = f(batch, number) if state is None else f(batch, number, self.state[where])
+            if found is True or isinstance(found, Finish):
+                self.finished[where] = found if isinstance(found, Finish) else Finish()
+            elif state is not None:
+                self.state[where] = found
 
-        where = fresh_path(self.spark, "stream")
-        self.running.append(stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{where}.state").trigger(availableNow=True).start())
+        self.running.append(stream.writeStream.queryName(where.rsplit("/", 1)[-1]).foreachBatch(step).option("checkpointLocation", f"{where}.state").trigger(availableNow=True).start())
+        return where
+
+    def result(self, stage: str):
+        """What the stage finished with; None if its stream came to its end."""
+        return self.finished[stage].value if stage in self.finished else None
 
     def wait(self, seconds: int = 120) -> None:
-        """Until all queries end; a failure tears the others down and is raised."""
+        """Until all queries end; a failure is raised, and tears the others down.  A finished stage's query is stopped."""
+        from time import monotonic
+
+        until = monotonic() + seconds
         try:
-            for q in self.running:
-                if not q.awaitTermination(seconds):
+            while active := [q for q in self.running if not q.awaitTermination(0.05)]:
+                if monotonic() > until:
                     raise TimeoutError("a stream didn't end in time")
+                for q in active:
+                    if any(w.rsplit("/", 1)[-1] == q.name for w in self.finished):
+                        q.stop()
         except BaseException:
-            self.stop()
+            if self.teardown:
+                self.stop()
             raise
 
     def stop(self) -> None:

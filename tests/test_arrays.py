@@ -136,3 +136,49 @@ def test_entry(spark):
 def test_pushdown(spark):
     plan = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter(F.col("l_quantity") > 10).select("l_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,10.0)" in plan
+
+
+def test_task_options_queues_and_events(spark):
+    pool = tasks.Tasks(spark, 2)
+    with tasks.with_options(pool="slow", description="a job of mine", tags=("mine",)):
+        seen = pool.spawn(lambda: (spark.sparkContext.getLocalProperty("spark.scheduler.pool"), spark.sparkContext.getLocalProperty("spark.job.description"), "mine" in spark.sparkContext.getJobTags(), tasks.current_task().tag)).fetch(30)
+    assert seen[:3] == ("slow", "a job of mine", True) and seen[3] == pool.all[0].tag and tasks.current_task() is None
+    order = []
+    pool.spawn_sequential([(order.append, x) for x in range(5)])[-1].fetch(30)
+    assert order == list(range(5)) and [t.fetch(30) for t in pool.spawn_bulk([(pow, 2, k) for k in range(4)])] == [1, 2, 4, 8]
+    assert {e for _, e, _ in pool.events} == {"spawn", "start", "end"}
+    stuck = pool.spawn(lambda: spark.range(10**13).selectExpr("sum(sqrt(id))").first())
+    import time
+
+    time.sleep(2)
+    stuck.cancel()
+    with pytest.raises(tasks.TaskFailed):
+        stuck.fetch(60)
+
+
+def test_data_dependencies(spark):
+    import time
+
+    from gridloom.plans import deps
+
+    pool, total, other, log = tasks.Tasks(spark, 4), deps.Mutable(0), deps.Mutable(0), []
+    with deps.Region(pool) as r:
+        for k in range(6):
+            r.spawn(lambda m, k=k: (time.sleep(0.01 * (6 - k)), log.append(k), m.update(lambda x: 10 * x + k)), deps.InOut(total))
+        late = r.spawn(lambda m: m.get(), deps.In(total))
+        r.spawn(lambda m: m.set(-1), deps.Out(total))
+        r.spawn(lambda m: m.set(5), deps.Out(other))
+    assert log == list(range(6)) and late.fetch() == 12345 and total.get() == -1 and other.get() == 5
+    with pytest.raises(tasks.TaskFailed, match="division"), deps.Region(pool) as r:
+        r.spawn(lambda m: 1 / 0, deps.InOut(total))
+        r.spawn(lambda m: m.set(7), deps.InOut(total))
+    assert total.get() == -1
+
+
+def test_entry_without_text_operators(monkeypatch):
+    import sys
+
+    import __spark_entry__ as e
+
+    monkeypatch.setitem(sys.modules, "gridloom.llm.queries", None)
+    assert len(e.queries()) > 100 and not any(n.startswith("op") for n in e.queries()) and set(e.oracle_sql()) <= set(e.queries())
