@@ -111,28 +111,35 @@ def links(distinct: DataFrame, max_bits: int = 2, bucket: int = BUCKET) -> DataF
     return found.distinct()
 
 
+def _grouped(df: DataFrame, id_col: str, text_col: str, max_bits: int, width: int) -> DataFrame:
+    """The id, ``fp``, ``hash`` of the text and ``component_id`` of every row."""
+    id_type = df.schema[id_col].dataType.simpleString()
+    read = df.select(id_col, text_col, F.xxhash64(text_col).alias("hash"))
+    found = map_rows(read, lambda key, text, h: [(key, fingerprint(text, width), h)], f"`{id_col}` {id_type}, fp bigint, hash bigint")
+    prints = materialize(found, "fingerprints")
+    least = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
+    if not max_bits:
+        return prints.join(least.withColumnRenamed("least", "component_id"), "fp")
+    roots = components(links(least.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root")
+    rooted = least.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, width: int = 3) -> DataFrame:
     """The id, ``fp`` and ``component_id`` of every row; the component's id is the smallest id in it."""
-    prints = materialize(fingerprints(df, id_col, text_col, width), "fingerprints")
-    least = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    found = components(links(least.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root") if max_bits else None
-    if found is not None:
-        rooted = least.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-        named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        least = rooted.join(named, "root").select("fp", F.col("component_id"))
-    else:
-        least = least.withColumnRenamed("least", "component_id")
-    return prints.join(least, "fp").select(id_col, "fp", "component_id")
+    return _grouped(df, id_col, text_col, max_bits, width).select(id_col, "fp", "component_id")
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, width: int = 3) -> DataFrame:
     """The rows of ``df`` that stay: of each component the row whose id names it.
 
-    Rows without an id stay only if no row of their component has one, and of
-    rows that repeat the same id all stay, as an id can't tell them apart.
+    Rows without an id stay only if no row of their component has one.  Rows are
+    told apart by id and text: of rows that repeat both, all stay.
     """
-    kept = near_duplicates(df, id_col, text_col, max_bits, width).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    named = _grouped(df, id_col, text_col, max_bits, width).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    kept = named.select(F.col(id_col).alias("_kept"), F.col("hash").alias("_hash")).distinct()
+    return df.join(kept, df[id_col].eqNullSafe(kept["_kept"]) & (F.xxhash64(df[text_col]) == kept["_hash"]), "left_semi")
 
 
 def as_hex(fp: Column) -> Column:
