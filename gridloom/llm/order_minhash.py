@@ -162,8 +162,13 @@ def sketch(text: str, window: int = WINDOW, chosen: int = CHOSEN, tuples: int =
     return (out >> np.uint64(48)).astype(np.uint16)
 
 
+def as_bytes(found: np.ndarray | None, tuples: int = TUPLES) -> bytes:
+    return bytes(2 * tuples) if found is None else found.astype(">u2").tobytes()
+
+
 def as_text(found: np.ndarray | None, tuples: int = TUPLES) -> str:
-    return "0" * 4 * tuples if found is None else found.astype(">u2").tobytes().hex()
+    """Lowercase hex digits, four a tuple."""
+    return as_bytes(found, tuples).hex()
 
 
 def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
@@ -188,7 +193,9 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = ["k", "h", "row"]
     dealt = (keyed.repartitionByRange(parts, *keys) if parts else keyed.repartitionByRange(*keys)).sortWithinPartitions(*keys).select("k", "t")
     id_type = df.schema[id_col].dataType.simpleString()
-    results = f"`{id_col}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    # Digests are bytes until the end, half the size of their digits.
+    digests = ("edited_sha256", "fingerprint", "edited_fingerprint")
+    results = f"`{id_col}` bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
     # Rows of a range have its number; its first and last text stand in a row of their own.
     schema = f"{results}, part int, head string, last_k bigint, last_t string"
     target, result = arrow_schema(schema), arrow_schema(results)
@@ -197,7 +204,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         half = len(t) // 2
         edited = t[: len(t) - half] + text[:half]
         e = sketch(edited)
-        return k, len(t), hashlib.sha256(edited.encode()).hexdigest(), as_text(s), as_text(e), likeness(s, e), likeness(s, own)
+        return k, len(t), hashlib.sha256(edited.encode()).digest(), as_bytes(s), as_bytes(e), likeness(s, e), likeness(s, own)
 
     def run(batches):
         from pyspark import TaskContext
@@ -227,4 +234,5 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield to_batch([pair(k, t, sketch(t), text, sketch(text))], result)
 
     names = result.names
-    return made.filter("head is null").select(*names).union(met.mapInArrow(close, results)).withColumn(id_col, F.col(id_col).cast(id_type))
+    whole = made.filter("head is null").select(*names).union(met.mapInArrow(close, results))
+    return whole.withColumns({id_col: F.col(id_col).cast(id_type)} | {c: F.lower(F.hex(c)) for c in digests})
