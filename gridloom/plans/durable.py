@@ -7,13 +7,34 @@ executors, so losing one costs no recomputation and no data.
 
 from __future__ import annotations
 
+import contextvars
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("gridloom_scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables and folders that are made inside are deleted at the end, but for those made with ``keep``.
+
+    For code that has read or written all its results inside, as plans are lazy.
+    """
+    made: list[str] = []
+    token = _scratch.set(made)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in made:
+            drop(spark, path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder's URI: ``spark.checkpoint.dir``, or in local mode a temporary folder.
 
@@ -32,20 +53,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def fresh_path(spark: SparkSession, what: str) -> str:
+def fresh_path(spark: SparkSession, what: str, keep: bool = False) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/gridloom/{what}-{uuid.uuid4().hex}"
+    path, made = f"{shared_dir(spark)}/gridloom/{what}-{uuid.uuid4().hex}", _scratch.get()
+    if made is not None and not keep:
+        made.append(path)
+    return path
 
 
-def materialize(df: DataFrame, what: str = "table") -> DataFrame:
+def materialize(df: DataFrame, what: str = "table", keep: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again with the same schema."""
-    return stored(df, what)[0]
+    return stored(df, what, keep)[0]
 
 
-def stored(df: DataFrame, what: str = "table") -> tuple[DataFrame, str]:
+def stored(df: DataFrame, what: str = "table", keep: bool = False) -> tuple[DataFrame, str]:
     """As :func:`materialize`, with the path, for :func:`drop`."""
     spark = df.sparkSession
-    path = fresh_path(spark, what)
+    path = fresh_path(spark, what, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -182,3 +182,17 @@ def test_entry_without_text_operators(monkeypatch):
 
     monkeypatch.setitem(sys.modules, "gridloom.llm.queries", None)
     assert len(e.queries()) > 100 and not any(n.startswith("op") for n in e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_scratch(spark):
+    """What is made inside goes at the end, but for what is to stay."""
+    from pathlib import Path
+
+    from gridloom.plans import durable
+
+    with durable.scratch(spark):
+        gone, at = durable.stored(spark.range(3))
+        kept, there = durable.stored(gone, keep=True)
+    assert kept.count() == 3 and Path(there.removeprefix("file://")).exists() and not Path(at.removeprefix("file://")).exists()
+    _, outside = durable.stored(spark.range(1))
+    assert Path(outside.removeprefix("file://")).exists()
