@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import quality_rules as q
 from gridloom.llm import secret_scan
 from gridloom.llm.queries import queries, vocabulary
+from gridloom.plans.durable import materialize
 
 from .test_text import SF, ids_of, plain_fingerprint, plain_rule, plain_secrets
 
@@ -107,7 +108,7 @@ def test_pipeline_cases(spark):
     schema = ", ".join(f"`{c}` {t}" for c, t in types)
     docs, empty, found = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema), {}
     for name, stage in p.STAGES[:3]:
-        docs, empty = p.materialize(stage(spark, docs, SF), "stage"), stage(spark, empty, SF)
+        docs, empty = materialize(stage(spark, docs, SF), "stage"), stage(spark, empty, SF)
         assert docs.dtypes == empty.dtypes == types and empty.count() == 0
         found[name] = sorted(map(tuple, docs.collect()), key=repr)
     assert len(found["quality_rules"]) == 5 and [r[0] for r in found["simhash_near_dedup"]] == [1, 1, None]
