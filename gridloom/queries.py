@@ -599,6 +599,13 @@ def _(s, d):
     return tables.inner_join(table(s, d, "lineitem"), right, "l_orderkey").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
 
 
+@query("tbl_join_unique", "select o_orderkey, o_orderpriority, min(l_linenumber) as l_linenumber from orders join lineitem on l_orderkey = o_orderkey group by 1, 2")
+def _(s, d):
+    """A right side with several rows a key: the first one's is joined."""
+    right = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    return tables.inner_join(table(s, d, "orders").select("o_orderkey", "o_orderpriority"), right, "o_orderkey", right_unique=True)
+
+
 def _events(s: SparkSession, d: str, r: region.Region, files: int = 4) -> DataFrame:
     """The events as a stream of several files."""
     path = fresh_path(s, "events")
