@@ -18,10 +18,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +35,16 @@ from gridloom.llm.arrow import map_rows, text_or_empty
 #: White space outside ASCII that the vocabulary's normaliser turns into a space (fixed values of Unicode's White_Space).
 WHITE = "[\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 #: Entries of each half of a worker's cache of encoded chunks, and of the chunks that one text had so far; results don't depend on them.
-CACHE_ENTRIES, FRESH_ENTRIES = 200_000, 100_000
+CACHE_ENTRIES, FRESH_ENTRIES = 150_000, 75_000
 #: Pre-tokens that are kept.
-PIECES = 250_000
+PIECES = 150_000
+#: The usual pattern of pre-tokens, and what it amounts to in lines of lower-case ASCII without other white space.
+USUAL_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_PIECES = r"[a-z]+|\n|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\na-z0-9]+"
+#: Bytes of the texts whose chunks are looked up at once; the last text may be longer.
+SLICE_BYTES = 1_000_000
+#: Stands between the ids of chunks; no id has a fourth byte of 255, so it is found nowhere else.
+MARK = b"\xff" * 4
 
 
 def byte_symbols() -> list[str]:
@@ -59,7 +70,9 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
+        pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        self.pieces, self.line_pieces = regex.compile(pattern), regex.compile(pattern + "|\n")
+        self.ascii_pieces = re.compile(ASCII_PIECES) if pattern == USUAL_PIECES else self.line_pieces
         self.white = regex.compile(WHITE)
         self.of_byte = byte_symbols()
         self.words: dict[str, tuple[int, ...]] = {}
@@ -104,6 +117,12 @@ class WordBpe:
             text = self.white.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ")
         return self.pieces.findall(text.lower())
 
+    def split_lines(self, lines: str) -> list[str]:
+        """The normalised pre-tokens of lines that have no other ASCII white space and no special tokens, with the line feeds between them."""
+        if lines.isascii():
+            return self.ascii_pieces.findall(lines.lower())
+        return self.line_pieces.findall(unicodedata.normalize("NFC", lines).replace("Σ", "σ").lower())
+
     def encode_plain(self, text: str) -> list[int]:
         """Ids of text without special tokens."""
         out: list[int] = []
@@ -135,7 +154,7 @@ def model(path: str) -> WordBpe:
 
 
 class Chunks:
-    """Values of the chunks between ASCII white space, each computed once while it is cached.
+    """Values of the chunks between ASCII white space, each computed once while it is cached; ``compute`` gets chunks and gives their values by chunk.
 
     No pre-token, special token or composition reaches across ASCII white
     space, so the chunks' values in order are the text's.  A chunk that only one
@@ -147,17 +166,20 @@ class Chunks:
         self.compute, self.cache, self.older, self.fresh, self.faded = compute, {}, {}, {}, {}
 
     def of(self, text: str) -> list:
+        """The values of a text's chunks, in order."""
+        return self.values(text.encode().split())
+
+    def values(self, parts: list[bytes]) -> list:
         cache = self.cache
-        parts = text.encode().split()
         out = list(map(cache.get, parts))
         if not all(out):  # a miss, or a chunk without tokens
             places = [i for i, v in enumerate(out) if v is None]
             missing = {parts[i] for i in places}
-            again, new = {}, {}
+            again = {}
             for known in (self.older, self.fresh, self.faded):
-                again.update((p, known[p]) for p in missing if p in known)
-            rest = [p for p in missing if p not in again]
-            new.update(zip(rest, self.compute([p.decode() for p in rest])))
+                found = known.keys() & missing
+                again.update(zip(found, map(known.__getitem__, found)))
+            new = self.compute(list(missing.difference(again)))
             if len(cache) + len(again) > CACHE_ENTRIES:  # what is still in use comes back from the older half
                 self.older, self.cache = cache, {}
             if len(self.fresh) + len(new) > FRESH_ENTRIES:
@@ -174,9 +196,9 @@ class Chunks:
 def digested_chunks(path: str) -> Chunks:
     bpe = model(path)
 
-    def compute(chunks: list[str]) -> list[tuple[int, str, str]]:
-        ids = map(bpe.encode_chunk, chunks)
-        return [(len(x), " ".join(map(str, x)), bpe.decode(x)) for x in ids]
+    def compute(chunks: list[bytes]) -> dict[bytes, tuple[int, str, str]]:
+        ids = [bpe.encode_chunk(c.decode()) for c in chunks]
+        return {c: (len(x), " ".join(map(str, x)), bpe.decode(x)) for c, x in zip(chunks, ids)}
 
     return Chunks(compute)
 
@@ -187,56 +209,98 @@ def library_chunks(path: str) -> Chunks:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    # The library's model alone, for normalised pre-tokens in byte symbols between spaces: no step tracks offsets or normalises again.
+    merger = Tokenizer(tokenizer.model)
+    merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
-    bpe, pieces, apart = model(path), {}, set()
+    bpe = model(path)
+    symbols = {i: s for i, s in enumerate(bpe.of_byte)} | {ord(" "): " "}
     last = np.zeros(max(bpe.strings) + 1, bool)
     last[[i for i, x in bpe.strings.items() if bpe.end and x.endswith(bpe.end) and x not in bpe.special]] = True
-
-    def stable(piece: str) -> bool:
-        # The library normalises again what it gets; NFC would reorder marks that lower-casing left out of order (after U+0130).
-        return piece.isascii() or unicodedata.is_normalized("NFC", piece)
-
-    def library(texts: list[str]) -> list[bytes]:
-        # Pre-tokens between spaces are encoded at once; the word ends among the ids part them again.
-        whole = [x for x in texts if "<|" not in x and x not in apart]
-        found: dict[str, bytes] = {}
-        if whole:
-            ids = np.array(tokenizer.encode(" ".join(whole), add_special_tokens=False).ids, "<u4")
-            ends = ((np.flatnonzero(last[ids]) + 1) * 4).tolist()
-            if len(ends) == len(whole):
-                data = ids.tobytes()
-                found = {x: data[a:b] for x, a, b in zip(whole, [0, *ends], ends)}
-        rest = [x for x in texts if x not in found]
-        if rest:  # special tokens, or a vocabulary without word ends
-            found.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
-        return [found[x] for x in texts]
-
-    def compute(chunks: list[str]) -> list[bytes]:
-        apart.clear()
+    pieces: dict[str, bytes] = {"\n": MARK}
+
+    def merged(new: list[str]) -> list[bytes]:
+        # All pre-tokens are encoded at once; the word ends among the ids part them again.
+        text = " ".join(new)
+        if not (text.isascii() and text.isprintable()):
+            text = text.encode().decode("latin-1").translate(symbols)
+        ids = np.array(merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = ((np.flatnonzero(last[ids]) + 1) * 4).tolist()
+        if len(ends) == len(new):
+            data = ids.tobytes()
+            return [data[a:b] for a, b in zip([0, *ends], ends)]
+        return [np.array(e.ids, "<u4").tobytes() for e in merger.encode_batch_fast(text.split(" "), add_special_tokens=False)]  # a vocabulary without word ends
+
+    def plain(chunks: list[bytes]) -> list[bytes]:
         # Chunks differ by case and marks more than by words: the library encodes each new pre-token once.
-        cut = [[c] if "<|" in c else bpe.split(c) for c in chunks]
-        for i, (c, ps) in enumerate(zip(chunks, cut)):
-            if not c.isascii() and not all(map(stable, ps)):
-                cut[i] = [c]
-                apart.add(c)
-        missing = list({p for ps in cut for p in ps if p not in pieces})
+        found = bpe.split_lines(b"\n".join(chunks).decode())
+        missing = set(found).difference(pieces)
         if len(pieces) + len(missing) > PIECES:
             pieces.clear()
-            missing = list({p for ps in cut for p in ps})
-        pieces.update(zip(missing, library(missing)))
-        return [pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps]) for ps in cut]
+            missing = set(found) - {"\n"}
+            pieces["\n"] = MARK
+        if missing:
+            new = list(missing)
+            pieces.update(zip(new, merged(new)))
+        return b"".join(map(pieces.__getitem__, found)).split(MARK)
+
+    def whole(chunks: list[bytes]) -> dict[bytes, bytes]:
+        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False))}
+
+    def compute(chunks: list[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
+        if b"<|" in b"\n".join(chunks):
+            out = whole([c for c in chunks if b"<|" in c])
+            chunks = [c for c in chunks if c not in out]
+        ascii_only, others = [c for c in chunks if c.isascii()], [c for c in chunks if not c.isascii()]
+        # Whether a code point is a letter is agreed once it is assigned; of later ones the library alone knows what it takes them for.
+        if unsure := {x for x in set(b"\n".join(others).decode()) if unicodedata.category(x) == "Cn"}:
+            out |= whole([c for c in others if not unsure.isdisjoint(c.decode())])
+            others = [c for c in others if c not in out]
+        for part in (ascii_only, others):
+            if part:
+                out.update(zip(part, plain(part)))
+        return out
 
     return Chunks(compute)
 
 
 def library_ids(text: str, path: str) -> bytes:
     """Ids of a whole text as the tokenizers library gives them, as little-endian 32-bit integers."""
-    return b"".join(library_chunks(path).of(text))
+    return library_ids_of(pa.array([text]), path)[0]
+
+
+def library_ids_of(texts: pa.Array, path: str) -> list[bytes]:
+    """``library_ids`` of each of the texts, whose chunks are looked up once for all of them."""
+    lists = pc.ascii_split_whitespace(texts)
+    coded = pc.dictionary_encode(lists.flatten())
+    known = library_chunks(path).values(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+    _, ends, data = pa.array(known, pa.large_binary()).take(coded.indices).buffers()
+    if data is None:
+        return [b""] * len(texts)
+    at = np.frombuffer(ends, "<i8")[lists.offsets.to_numpy()].tolist()
+    whole = memoryview(data)
+    return [whole[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+
+def library_rows(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]:
+    """A function from batches of a key and a text to the key and the ``library_ids`` of each row, in order; a null text is empty."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            keys, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            # Runs of texts that begin within the same stretch of SLICE_BYTES.
+            runs = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SLICE_BYTES, prepend=-1)).tolist()
+            for a, b in zip(runs, [*runs[1:], len(sizes)]):
+                yield from zip(keys.slice(a, b - a).to_pylist(), library_ids_of(texts.slice(a, b - a), path))
+
+    return rows
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.arrow import arrow_schema, make_dir, map_rows, rows_of, text_or_empty, to_batch, write_file
-from gridloom.llm.bpe import library_ids
+from gridloom.llm.arrow import arrow_schema, make_dir, map_rows, text_or_empty, to_batch, write_file
+from gridloom.llm.bpe import library_rows
 from gridloom.plans.durable import fresh_path, materialize
 
 MAGIC = b"GLIDS001"
@@ -186,8 +186,8 @@ def write(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", t
             write_file(f"{folder}/{name}", *shard.parts())
             return to_batch([(name, part, seq, len(shard.keys), shard.n_ids)], target)
 
-        for key, text in rows_of(batches):
-            shard.add(key, library_ids(text, vocabulary) + end)
+        for key, ids in library_rows(vocabulary)(batches):
+            shard.add(key, ids + end)
             if shard.n_ids >= shard_ids:
                 yield close()
                 shard, seq = ShardBuffer(end_id), seq + 1

@@ -8,6 +8,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,33 @@ def test_marks_after_lower_case(library):
         assert bpe.library_ids(text, vocabulary()) == np.array(ids_of(library, text), "<u4").tobytes()
 
 
+def test_later_code_points(library):
+    """Code points that one library takes for letters and another doesn't, beside what would join them; every control character."""
+    later = [chr(c) for c in (0x558, 0x58B, 0x88F, 0xC5C, 0x1C89, 0x208F, 0xA7CB, 0x10940, 0x32671, 0xFDD0)]
+    texts = [f"!{x}a{x}b {x}!{x}1 É{x}" for x in later] + [f"a{chr(c)}'s{chr(c)}B!{chr(c)}" for c in range(1, 0xA1)]
+    for text in texts:
+        assert bpe.library_ids(text, vocabulary()) == np.array(ids_of(library, text), "<u4").tobytes()
+
+
+def test_texts_are_encoded_together(library, monkeypatch):
+    """Texts of a batch meet the caches and the library once for all of them, whatever the limits of the caches."""
+    words = ["".join("abcdefghijklmnopqrstuvwxyz"[(i * k) % 26] for k in (1, 3, 5, 7, 11, 17)) + str(i) for i in range(2000)]
+    texts = [None, "", " \n", *(" ".join([words[i], "É" + words[-i].title(), "<|endoftext|>x", "it's"]) for i in range(2000)), "\x0b\t a"]
+    want = [np.array(ids_of(library, t), "<u4").tobytes() for t in texts]
+    batch = pa.record_batch({"k": pa.array([None, *range(len(texts) - 1)]), "t": pa.array(texts)})
+    bpe.library_chunks.cache_clear()
+    calls, chunks = [], bpe.library_chunks(vocabulary())
+    compute = chunks.compute
+    monkeypatch.setattr(chunks, "compute", lambda new: calls.append(len(new)) or compute(new))
+    assert list(bpe.library_rows(vocabulary())([batch, batch.slice(0, 0)])) == list(zip(batch["k"].to_pylist(), want))
+    assert len(calls) == 1
+    for name, limit in (("CACHE_ENTRIES", 50), ("FRESH_ENTRIES", 50), ("PIECES", 50), ("SLICE_BYTES", 300)):
+        monkeypatch.setattr(bpe, name, limit)
+    for _ in range(2):
+        assert [x for _, x in bpe.library_rows(vocabulary())([batch])] == want
+    bpe.library_chunks.cache_clear()
+
+
 def test_elias_fano():
     for n, top in ((0, 0), (1, 0), (300, 10), (1000, 10**12), (600, 600)):
         v = np.sort(np.random.default_rng(n).integers(0, top + 1, n))
