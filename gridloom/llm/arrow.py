@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 512
 
 
-def map_rows(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable, schema: str, rows: Callable | None = None) -> DataFrame:
     """Rows that the generator ``fn(*row)`` yields as tuples of ``schema``, for each row of ``df``.
 
+    ``rows`` makes the tuples that ``fn`` gets from the batches, instead of ``rows_of``.
+
     Rows leave in batches of bounded size, so a task holds one batch of input
     and one of output, whatever its partition's size.
     """
@@ -23,7 +25,7 @@ def map_rows(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for row in rows_of(batches):
+        for row in (rows or rows_of)(batches):
             out.extend(fn(*row))
             if len(out) >= 4096:
                 yield to_batch(out, target)

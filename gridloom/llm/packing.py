@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrow import map_rows, text_or_empty
-from gridloom.llm.bpe import library_ids
+from gridloom.llm.bpe import library_rows
 from gridloom.plans.durable import materialize
 
 #: A group has at most about so many tokens, in sequences' lengths, and so many pieces.
@@ -91,17 +91,17 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """
     id_type, made = df.schema[id_col].dataType.simpleString(), [0]
 
-    def fn(key, text):
+    def fn(key, ids):
         from pyspark import TaskContext
 
-        ids = library_ids(text, vocabulary) + struct.pack("<I", end_id)
+        ids += struct.pack("<I", end_id)
         for k, at in enumerate(range(0, len(ids), 4 * max_tokens)):
             part = ids[at : at + 4 * max_tokens]
             more = ((TaskContext.get().partitionId() << 36) + made[0], part) if with_ids else ()
             made[0] += 1
             yield key, k, at // 4, len(part) // 4, zlib.crc32(part), *more
 
-    return map_rows(df.select(F.col(id_col), text_or_empty(text_col)), fn, f"`{id_col}` {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", row bigint, ids binary" * with_ids)
+    return map_rows(df.select(F.col(id_col), text_or_empty(text_col)), fn, f"`{id_col}` {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", row bigint, ids binary" * with_ids, library_rows(vocabulary))
 
 
 def pack(

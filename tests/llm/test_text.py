@@ -121,6 +121,17 @@ def test_packing(docs, real, library):
         assert got.sequence_id.nunique() <= -(-total // 4096) + 1
 
 
+def test_pieces_of_long_and_short_texts(spark, library):
+    """Texts that share a batch with one that is longer than what is encoded at once, and letters that only some libraries know."""
+    texts = [None, "!\u0558x", "", "Word's 12 " * 120_000, "one!\u0558", "é " * 5000]
+    want = []
+    for key, text in enumerate(texts):
+        ids = np.array([*ids_of(library, text), 1], "<u4")
+        want += [(key, k, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    assert sorted(map(tuple, packing.pieces(df, vocabulary()).collect())) == want
+
+
 def test_vector_capacities():
     lengths = np.random.default_rng(3).integers(1, 700, 500)
     for score in ("norm", "dot"):
