@@ -12,6 +12,8 @@ from gridloom.plans.durable import drop, materialize, stored
 
 #: Columns up to which an n by n factor is decomposed further (singular values, least squares) at one place.
 SQUARE = 8192
+#: Cells of a sparse product that a task sums up at once.
+TASK_CELLS = 1 << 20
 
 
 def _as_matrix(b: GridArray) -> GridArray:
@@ -41,8 +43,8 @@ def from_small(spark, x: np.ndarray) -> GridArray:
 def matmul(a: GridArray, b: GridArray) -> GridArray:
     """``a @ b`` for matrices and vectors.
 
-    Sparse operands meet in a join on the contracted index, then partial and
-    final sums.  Of dense ones a factor of at most a panel's cells is broadcast to
+    Sparse operands meet in a join on the contracted index, then sums by cell
+    (:func:`_summed`).  Of dense ones a factor of at most a panel's cells is broadcast to
     the rows of the other; larger ones meet as tiles.
     """
     if a.ndim != 2 or b.ndim not in (1, 2) or a.shape[1] != b.shape[0]:
@@ -61,9 +63,30 @@ def _join_product(a: GridArray, b: GridArray) -> GridArray:
     left = a.df.select("i0", F.col("i1").alias("k"), F.col("v").alias("x"))
     columns = [F.col("i1").alias("j")] if b.ndim == 2 else []
     right = GridArray(b.small(), b.shape).df.select(F.col("i0").alias("k"), *columns, F.col("v").alias("y"))
-    out = left.join(right, "k").groupBy("i0", *(["j"] if columns else [])).agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-    index = ["i0", F.col("j").alias("i1")] if columns else ["i0"]
-    return GridArray(out.select(*index, "v"), (a.shape[0], *b.shape[1:]), True)
+    shape = (a.shape[0], *b.shape[1:])
+    if columns:
+        return GridArray(_summed(left, right, shape).select("i0", F.col("j").alias("i1"), "v"), shape, True)
+    return GridArray(left.join(right, "k").groupBy("i0").agg(F.sum(F.col("x") * F.col("y")).alias("v")), shape, True)
+
+
+def _summed(left: DataFrame, right: DataFrame, shape: tuple[int, int], half: bool = False) -> DataFrame:
+    """``i0, j, v``: products of cells ``i0, k, x`` and ``k, j, y``, summed up; with ``half`` those of ``i0 <= j``.
+
+    Partial sums before the shuffle hold a cell for nearly each product of a task
+    where few products meet in a cell, so there products are dealt to their cells
+    as they are, in as many tasks as a count of them needs.  Partial sums stay where
+    the shape bounds them, and where a cell has over 8 products and they spare most
+    of the shuffle.
+    """
+    met = left.join(right, "k")
+    products = (met.filter("i0 <= j") if half else met).select("i0", "j", (F.col("x") * F.col("y")).alias("v"))
+    cells = shape[0] * shape[1]
+    if cells > TASK_CELLS:
+        each = [side.groupBy("k").agg(F.count("*").alias(n)) for side, n in ((left, "m"), (right, "n"))]
+        found = each[0].join(each[1], "k").agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
+        if TASK_CELLS < found <= 8 * cells:
+            products = products.repartition(-(-min(found, cells) // TASK_CELLS), "i0", "j")
+    return products.groupBy("i0", "j").agg(F.sum("v").alias("v"))
 
 
 def _rows_product(a: GridArray, b: GridArray) -> GridArray:
@@ -144,10 +167,9 @@ def syrk(a: GridArray, outer: bool = False) -> GridArray:
         return syrk(a.T)
     n = a.shape[1]
     if a.sparse:
-        left = a.df.select(F.col("i0").alias("k"), F.col("i1").alias("p"), F.col("v").alias("x"))
-        right = a.df.select(F.col("i0").alias("k"), F.col("i1").alias("q"), F.col("v").alias("y"))
-        half = left.join(right, "k").filter("p <= q").groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-        return reshape.mirror(GridArray(half.select(F.col("p").alias("i0"), F.col("q").alias("i1"), "v"), (n, n), True))
+        left = a.df.select(F.col("i0").alias("k"), F.col("i1").alias("i0"), F.col("v").alias("x"))
+        right = a.df.select(F.col("i0").alias("k"), F.col("i1").alias("j"), F.col("v").alias("y"))
+        return reshape.mirror(GridArray(_summed(left, right, (n, n), True).select("i0", F.col("j").alias("i1"), "v"), (n, n), True))
     if n * n > panels.PANEL_CELLS:
         return reshape.mirror(matmul_tiled(a.T, a))
     parts = panels.gram_parts(panels.to_rows(a), n)

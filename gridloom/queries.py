@@ -24,6 +24,9 @@ class Query:
 
 QUERIES: dict[str, Query] = {}
 
+#: Lines of orders that a task holds.
+ORDER_LINES = 400_000
+
 
 def query(name: str, sql: str | None = None):
     def put(f):
@@ -49,9 +52,11 @@ def vector(spark: SparkSession, sf_dir: str) -> GridArray:
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> GridArray:
-    """Quantities by order and supplier."""
-    df = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("v"))
-    top = df.agg(F.max("l_orderkey"), F.max("l_suppkey")).first()
+    """Quantities by order and supplier; orders are dealt to tasks of at most about ``ORDER_LINES`` lines, which sum up and join where they are."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    top = lines.agg(F.max("l_orderkey"), F.max("l_suppkey"), F.count("*")).first()
+    dealt = lines.repartition(max(spark.sparkContext.defaultParallelism, -(-top[2] // ORDER_LINES)), "l_orderkey")
+    df = dealt.groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("v"))
     return arrays.from_columns(df, ["l_orderkey", "l_suppkey"], "v", (top[0] + 1, top[1] + 1), True)
 
 

@@ -120,6 +120,36 @@ def test_sparse(spark, put):
     assert np.allclose(stencil.neighbours(e, 1, stencil.pad(0.0), fold="min").collect(), 0)
 
 
+def _most_in_a_task(df):
+    from pyspark.sql import functions as F
+
+    return df.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize("share", [0.04, 0.9])
+def test_sparse_products(put, monkeypatch, share):
+    """Products of few cells are dealt to as many tasks as they need, whatever the setting of partitions; of many, summed up first."""
+    monkeypatch.setattr(linalg, "TASK_CELLS", 64, raising=False)
+    x = np.where(RNG.uniform(size=(50, 60)) < share, RNG.normal(size=(50, 60)), 0)
+    cells = arrays.from_numpy(put(x).df.sparkSession, x)
+    a = type(cells)(cells.df.filter("v <> 0"), x.shape, True)
+    for got, want in ((linalg.matmul(a.T, a), x.T @ x), (linalg.syrk(a), x.T @ x), (a @ a.T, x @ x.T), (a @ put(x[0]), x @ x[0])):
+        assert got.sparse and np.allclose(got.collect(), want)
+    if share < 0.5:
+        assert _most_in_a_task(linalg.matmul(a.T, a).df) < 3 * 64
+
+
+def test_sparse_query_is_dealt(spark, monkeypatch):
+    """A task holds the lines of some orders, by the number of lines."""
+    from gridloom import queries
+
+    monkeypatch.setattr(queries, "ORDER_LINES", 200, raising=False)
+    a = queries.sparse(spark, "/root/testdata/sf0.001")
+    assert _most_in_a_task(a.df) < 3 * 200
+    x = a.collect()
+    assert np.allclose(linalg.matmul(a.T, a).collect(), x.T @ x)
+
+
 def test_updates(put):
     x = RNG.normal(size=(4, 3))
     y = x.copy()
